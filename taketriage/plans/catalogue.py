@@ -552,8 +552,13 @@ def seed_mutation(takes):
     return takes.select("clip", F.to_json(kernels.mutated_seeds(seeds, F.col("take_id"), F.lit(1))).alias("seeds"))
 
 
-@query()
+# one file is one batch of the stream, so it ends as the batch form does
+@query(sql="""WITH r AS (SELECT concat('shot-', user_id % 100) AS shot, user_id % 9 = 0 OR event_id % 4 = 0 AS m FROM events),
+  b AS (SELECT shot, count(*) AS takes, count(*) FILTER (m) AS mechanical_kills FROM r GROUP BY 1),
+  p AS (SELECT shot, takes, mechanical_kills, least(1.0, sum(exp(lgamma(takes + 2) - lgamma(j + 1) - lgamma(takes + 2 - j) + j * ln(0.75) + (takes + 1 - j) * ln(0.25)))) AS p
+    FROM (SELECT *, unnest(generate_series(0, mechanical_kills)) AS j FROM b) GROUP BY 1, 2, 3)
+  SELECT shot, takes, mechanical_kills, round(p, 6) AS doom_probability FROM p WHERE p >= 0.9""")
 def doomed_stream(spark, sf_dir):
     from ..streaming.watch import doomed_from_files
 
-    return doomed_from_files(spark, sf_dir)
+    return doomed_from_files(spark, sf_dir).withColumn("doom_probability", F.round("doom_probability", 6))
