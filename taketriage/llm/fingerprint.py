@@ -33,7 +33,7 @@ BUCKETS = 8
 
 def with_sketch(df: DataFrame, text: str, out: str, scale: int = SCALE) -> DataFrame:
     """Adds ``out``, the sketch of column ``text``: sorted distinct array<bigint>."""
-    limit = -(2**63) + 2**64 // scale
+    limit = _limit(scale)
     w, s = f"__{out}_words", f"__{out}_shingles"
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda x: x != "")
     df = df.withColumn(w, words)
@@ -48,6 +48,10 @@ def with_sketch(df: DataFrame, text: str, out: str, scale: int = SCALE) -> DataF
     return df.withColumn(out, _retained(F.col(s), limit)).drop(w, s)
 
 
+def _limit(scale: int) -> int:
+    return min(-(2**63) + 2**64 // scale, 2**63 - 1)
+
+
 def _retained(hashes: Column, limit: int) -> Column:
     # the smallest stands outside the lambda, which is evaluated for each hash
     kept = F.sort_array(F.array_distinct(F.filter(hashes, lambda h: h < limit)))
@@ -68,8 +72,7 @@ def containment(a: Column, b: Column) -> Column:
 
 def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
     """The sketch of the union of the shingle sets."""
-    limit = -(2**63) + 2**64 // scale
-    return _retained(F.array_union(a, b), limit)
+    return _retained(F.array_union(a, b), _limit(scale))
 
 
 def as_text(sketch: Column) -> Column:

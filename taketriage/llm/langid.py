@@ -35,8 +35,10 @@ UND = "und"
 SAMPLE_CHARS, DOC_CHARS, ALPHABET, MAX_LANGUAGES = 320_000, 4_000, 62, 64
 #: Symbols of a block, code points of a slice of a batch.
 BLOCK, SLICE = 512, 2_000_000
-#: Above this many bits a character no learned language is near.
-FAR_BITS = 12.0
+#: Above this many bits a symbol no learned language is near (text of learned
+#: languages takes 2 to 5, random letters 10); texts below FAR_CHARS are too
+#: short to tell and stay.
+FAR_BITS, FAR_CHARS = 8.0, 40
 
 
 @lru_cache(maxsize=1)
@@ -243,12 +245,15 @@ def identified(docs: DataFrame) -> DataFrame:
 
 def in_known_language(docs: DataFrame, model: Model, text_col: str = "text", far_bits: float = FAR_BITS) -> DataFrame:
     """The rows, unchanged, whose text is in a learned language: it has letters
-    and its best language takes at most ``far_bits`` bits a symbol."""
+    and, if long enough to tell, its best language takes at most ``far_bits``
+    bits a symbol."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        langs, _, bits = _batch_predict(shipped.value, batch.column(at).to_pylist())
-        yield batch.filter(pa.array([lang != UND and b <= far_bits for lang, b in zip(langs, bits, strict=True)], pa.bool_()))
+        texts = batch.column(at).to_pylist()
+        langs, _, bits = _batch_predict(shipped.value, texts)
+        near = [lang != UND and (b <= far_bits or len(t) < FAR_CHARS) for lang, b, t in zip(langs, bits, texts, strict=True)]
+        yield batch.filter(pa.array(near, pa.bool_()))
 
     return map_batches(docs, fn, docs.schema)

@@ -29,14 +29,11 @@ def ready(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the cluster names none (as in tests), a folder below the warehouse
-    is set for the session.
+    Where the cluster names none (as in tests), it is a folder below the
+    warehouse.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    return (where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
 
 
 def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:

@@ -76,7 +76,7 @@ def quantile(sums: DataFrame, q: float) -> DataFrame:
 
 def at_limit(sums: DataFrame, limits: list[int]) -> DataFrame:
     """limit, docs_over, truncated_tokens for any limits, asked of the sums."""
-    asked = sums.sparkSession.range(1).select(F.explode(F.lit(limits)).cast("long").alias("limit"))
+    asked = sums.sparkSession.range(1).select(F.explode(F.lit(limits).cast("array<bigint>")).alias("limit"))
     total = sums.agg(F.max("total_tokens").alias("total_tokens"))
     over = F.col("n_tokens") > F.col("limit")
     return (
