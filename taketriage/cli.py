@@ -11,6 +11,7 @@ import os
 import sys
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import report as report_
@@ -267,8 +268,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except LookupError as e:
         print(e, file=sys.stderr)
         return 1
-    except (RuntimeError, ValueError, OSError) as e:
-        print(e, file=sys.stderr)
+    except (RuntimeError, ValueError, OSError, PySparkException) as e:
+        print(str(e).split("\n")[0], file=sys.stderr)
         return 2
 
 

@@ -137,3 +137,32 @@ def failure_streaks(jobs: DataFrame, block: int = FAIL_BLOCK) -> DataFrame:
     in_run = Window.partitionBy("shot", "run").orderBy("job_seq").rowsBetween(Window.unboundedPreceding, 0)
     df = runs.withColumn("streak", F.count_if(F.col("state") == "error").over(in_run)).drop("run")
     return df.withColumn("blocked", F.col("streak") >= block)
+
+
+def recorded(jobs: DataFrame, submits: DataFrame) -> DataFrame:
+    """The job table with new submissions as queued rows."""
+    new = submits.withColumn("state", F.lit("queued"))
+    return jobs.unionByName(new, allowMissingColumns=True)
+
+
+def resolved(jobs: DataFrame, observed: DataFrame) -> DataFrame:
+    """The job table with observed states (key, state); those that end a job
+    get a stamp."""
+    seen = observed.select("key", F.col("state").alias("seen"))
+    state = F.coalesce("seen", "state")
+    stamp = F.when(F.col("seen").isin(*TERMINAL), F.current_timestamp())
+    before = F.col("resolved") if "resolved" in jobs.columns else F.lit(None).cast("timestamp")
+    return jobs.join(seen, "key", "left").withColumns({"state": state, "resolved": F.coalesce(before, stamp)}).drop("seen")
+
+
+def submit_batch(gated: DataFrame, room: int) -> DataFrame:
+    """The first candidates (by clip) that the gate passes, as many as the rate
+    leaves room for; each submission changes the facts, so the rest wait."""
+    return gated.where("ok").orderBy("clip").limit(room)
+
+
+def settled(before: DataFrame, now: DataFrame, settle: float, at: float) -> DataFrame:
+    """Clips (clip, size, mtime in seconds) unchanged since the poll before,
+    and for ``settle`` seconds."""
+    same = now.join(before.select("clip", "size", "mtime"), ["clip", "size", "mtime"], "left_semi")
+    return same.where(F.lit(at) - F.col("mtime") >= settle)

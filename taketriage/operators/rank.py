@@ -96,3 +96,11 @@ def cut_list(picks: DataFrame, shot_list: DataFrame | None = None, fps: float =
         "take_id",
         "clip",
     )
+
+
+def rerank(takes: DataFrame, changed: DataFrame) -> DataFrame:
+    """Ranks anew of only the shots that ``changed`` (clip, shot) touches, and
+    of those only the rows whose rank moved.  Takes bring their old rank."""
+    shots = changed.select("shot").distinct().withColumnRenamed("shot", "s")
+    mine = takes.join(shots, takes["shot"].eqNullSafe(F.col("s")), "left_semi").withColumnRenamed("rank_in_shot", "was")
+    return rank_in_shot(mine).where(~F.col("rank_in_shot").eqNullSafe(F.col("was"))).drop("was")

@@ -7,8 +7,9 @@ from collections import defaultdict
 
 from pyspark.sql import DataFrame, functions as F
 
-from .functions.text import cost_phrase, display_label, family, slug
+from .functions.text import display_label, family, slug
 from .operators import breaker, brief, cost
+from .operators.cost import cost_phrase
 
 _STYLE = "body{font:14px sans-serif;margin:2em}.card{border:1px solid #bbb;padding:.6em;margin:.4em 0}.kill{border-color:#c33}.bar{position:relative;height:1em;background:#eee}.dot{position:absolute;width:6px;height:6px;background:#c33}"
 _NEAR = 1.8
