@@ -113,19 +113,20 @@ def judge_agreement(gold: DataFrame, predicted: DataFrame, landed: DataFrame) ->
     ).crossJoin(missing)
 
 
-def judge_gate(runs: DataFrame, floor: float = MIN_KAPPA) -> DataFrame:
-    """One row: ok, why — may an unattended loop trust this judge?
+def judge_gate(runs: DataFrame, floor: float = MIN_KAPPA, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (or one for each history, told by ``by``): ok, why — may an
+    unattended loop trust this judge?
 
     runs: seq, kappa, created of the first history that exists.
     """
-    last = runs.agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("kappa", "created"), "seq").alias("last"))
+    last = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("kappa", "created"), "seq").alias("last"))
     k = F.col("last.kappa")
     why = (
         F.when(F.col("n") == 0, "no judge-check runs found")
         .when(k.isNull(), "the last judge-check run records no kappa")
         .when(k < floor, F.concat(F.lit("judge kappa "), F.format_string("%.2f", k), F.lit(" (checked "), F.col("last.created"), F.lit(f") is below the {floor:.2f} floor")))
     )
-    return last.select(why.isNull().alias("ok"), why.alias("why"))
+    return last.select(*by, why.isNull().alias("ok"), why.alias("why"))
 
 
 def audited(takes: DataFrame, rate: float) -> DataFrame:

@@ -243,14 +243,14 @@ def judge_agreement(takes, gold):
 
 
 @query("fx_jobs", """+ r AS (SELECT shot AS h, job_seq AS seq, CASE WHEN job_seq % 7 = 0 THEN NULL ELSE job_seq % 100 / 100.0::DOUBLE END AS kappa FROM fx_jobs),
-  l AS (SELECT arg_max({'k': kappa}, seq).k AS k, count(*) AS n FROM r WHERE h = 'shot-7')
-  SELECT n > 0 AND k IS NOT NULL AND k >= 0.6 AS ok, CASE WHEN n = 0 THEN 'no judge-check runs found' WHEN k IS NULL THEN 'the last judge-check run records no kappa'
+  l AS (SELECT h, arg_max({'k': kappa}, seq).k AS k, count(*) AS n FROM r GROUP BY 1)
+  SELECT h AS history, n > 0 AND k IS NOT NULL AND k >= 0.6 AS ok, CASE WHEN n = 0 THEN 'no judge-check runs found' WHEN k IS NULL THEN 'the last judge-check run records no kappa'
     WHEN k < 0.6 THEN concat('judge kappa ', printf('%.2f', k), ' (checked now) is below the 0.60 floor') END AS why FROM l""")
 def judge_gate(jobs):
-    runs = jobs.where("shot = 'shot-7'").select(
-        F.col("job_seq").alias("seq"), F.when(F.col("job_seq") % 7 != 0, F.col("job_seq") % 100 / 100.0).alias("kappa"), F.lit("now").alias("created")
+    runs = jobs.select(
+        F.col("shot").alias("history"), F.col("job_seq").alias("seq"), F.when(F.col("job_seq") % 7 != 0, F.col("job_seq") % 100 / 100.0).alias("kappa"), F.lit("now").alias("created")
     )
-    return labels.judge_gate(runs)
+    return labels.judge_gate(runs, by=("history",))
 
 
 @query("fx_reviews", """+ p AS (SELECT *, verdict <> 'kill' AND parent IS NOT NULL AND ('0x' || substr(sha256(take_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.15 AS pick FROM fx_reviews WHERE verdict IS NOT NULL)
