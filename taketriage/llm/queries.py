@@ -66,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op7_line_dedup": linededup.ORACLE, "op10_sharding": sharding.oracle()}
+ORACLES: dict[str, str] = {"op5_decontamination": decontam.ORACLE, "op7_line_dedup": linededup.ORACLE, "op10_sharding": sharding.oracle()}

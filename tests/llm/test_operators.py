@@ -259,6 +259,19 @@ def test_decontamination(spark, corpus, block_bytes, monkeypatch):
     assert rows(got) == contaminated(docs, ITEMS)
 
 
+def test_decontamination_oracle(spark, corpus):
+    import duckdb
+
+    docs = [d for d in contaminated_docs(corpus) if d[0] is not None and d[0] != 7]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark(item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", ITEMS)
+    got = decontam.contamination_digest(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert rows(got) == sorted(con.execute(decontam.ORACLE).fetchall())
+
+
 def test_suffix_array_shards_do_not_matter(corpus, monkeypatch):
     items = decontam.Items([(str(i), t.encode()) for i, t in ITEMS if t is not None])
     texts = [t.encode() if t is not None else None for _, t in contaminated_docs(corpus)]
