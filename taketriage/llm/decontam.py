@@ -146,7 +146,7 @@ def shard_hits(texts: list[bytes | None], items: Items) -> tuple[np.ndarray, lis
     # how many words of the vocabulary follow from each place, within its text
     bad = np.flatnonzero(ranks == 0)
     stops = np.union1d(bad, starts[1:])
-    run = stops[np.searchsorted(stops, np.arange(len(ranks)))] - np.arange(len(ranks)) if len(stops) else np.zeros(len(ranks), np.int64)
+    run = stops[np.searchsorted(stops, np.arange(len(ranks)), side="right")] - np.arange(len(ranks))
     long_ = np.flatnonzero((ranks > 0) & (run >= items.shortest))
     if not len(long_):
         return n_words, ranges, found
@@ -286,3 +286,19 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows that aren't contaminated, with their columns."""
     return with_hits(docs, benchmark, text_col).where(~F.col("contaminated")).select("doc.*")
+
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_RUNS = "[array_to_string(w[i : i + n - 1], ' ') for i in range(1, len(w) - n + 2)]"
+ORACLE = f"""
+WITH iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format(_LOWER.format("text"))} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+win AS (SELECT DISTINCT item, n, unnest({_RUNS}) AS run FROM (SELECT *, least({WINDOW}, len(w)) AS n FROM iw) WHERE n > 0),
+dw AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+dr AS (SELECT doc_id, n, unnest({_RUNS}) AS run, unnest(range(0, len(w) - n + 1)) AS pos FROM dw, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+hit AS (SELECT DISTINCT dr.doc_id, dr.pos, dr.n, win.item FROM dr JOIN win ON win.n = dr.n AND win.run = dr.run),
+words AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS word FROM hit) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND {SHARE_ONE_IN} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
