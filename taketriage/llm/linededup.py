@@ -141,8 +141,10 @@ def with_drops(docs: DataFrame, batches: int = BATCHES, min_docs: int = MIN_DOCS
     """A struct of the row (``doc``) and ``drops``, hashes of the keys it loses."""
     # once for each doc_id, should ids repeat: the keys are distinct rows
     keys = written(line_keys(docs, min_chars), "line-keys")
+    # written: the join then deals both sides itself, and can split a common key
+    common = written(common_lines(_once(keys), batches, min_docs), "common-lines")
     lost = (
-        keys.join(common_lines(_once(keys), batches, min_docs), "key")
+        keys.join(common, "key")
         .where(F.col("doc_id") < F.col("last_id"))
         .groupBy("doc_id")
         .agg(F.collect_set("key").alias("drops"))
