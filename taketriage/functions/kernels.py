@@ -6,7 +6,9 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
+
+from ..plans.session import importable
 
 # fixed values
 FLOOR, CONFIDENCE, PRIOR = 0.25, 0.90, (1, 1)
@@ -55,6 +57,7 @@ def _log_beta_tail(a: float, b: float, x: float) -> float:
 
 def doom_probability_any_prior(kills: Column, passes: Column, floor: float = FLOOR, prior: tuple[float, float] = (0.5, 0.5)) -> Column:
     """As :func:`doom_probability`, for priors that aren't whole numbers."""
+    importable(SparkSession.active())
 
     @F.pandas_udf("double")
     def tail(k: pd.Series, p: pd.Series) -> pd.Series:
