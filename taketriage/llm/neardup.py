@@ -10,12 +10,13 @@ sets have a resemblance of 0.75 or more.
    member, so a bucket of any size gives a linear number.
 3. Estimate: bit counts of the XOR of packed signatures, corrected for values
    that collide in their low bits; far pairs go.
-4. Confirm the best candidate of each class on the full sets, and join linked
-   classes to components.
+4. Confirm the nearest candidates of each class on the full sets, and join
+   linked classes to components.
 5. The rest: in each bucket that still spans components, members of different
-   components are compared, block by block, by estimate; what is near and not
-   tested yet is confirmed too.  So every pair of a bucket is linked, in one
-   component already, or tested; there is no cap.
+   components are compared, block by block, by estimate.  A member near one of
+   another component is confirmed against all of that component, on full sets.
+   So every pair of a bucket is linked, in one component already, or tested;
+   there is no cap, and no stage has a row for each pair of a group.
 
 A pair of resemblance 0.75 shares no bucket with a probability of 5e-6.
 
@@ -32,7 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .shared import NULL_ID, map_batches, ready, slices, written
 from .words import NOT_SPACE, mixed, shingle_hashes, word_hashes
@@ -44,8 +45,11 @@ LONGS = PERMUTATIONS * BITS // 64
 PERCENT = 75
 #: Pairs estimated below this aren't confirmed: five deviations below a link.
 NEAR = 0.55
-#: Members compared with each other in one task's block; confirmed in one group.
-BLOCK, GROUP = 512, 64
+#: Candidates of each class confirmed first.
+FIRST = 4
+#: Members compared with each other in one block by estimate; pairs of one
+#: head confirmed in one group; residents of a component in one group.
+BLOCK, GROUP, RESIDENTS = 512, 64, 256
 
 
 @lru_cache(maxsize=1)
@@ -175,19 +179,16 @@ def _candidates(members: DataFrame, heads: DataFrame, reps: DataFrame) -> DataFr
 _EDGE = "a long, b long"
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) linked on their full sets.
+def _with_sets(rows: DataFrame, needs: DataFrame) -> DataFrame:
+    """(group columns, doc_id, role, shingles): each node's set, made once from
+    its whole text, for every group that needs it.
 
-    Pairs of one ``a`` are dealt to groups of about GROUP; a document's set is
-    made once, from its whole text, and goes to the groups that need it.
+    needs: node, group (a struct).  Needs are the small side in each partition;
+    texts are dealt but not sorted, at every size alike.
     """
-    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("salts"))
-    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
-    needs = dealt.select(F.col("b").alias("node"), "a", "salt").unionByName(
-        dealt.groupBy("a", "salt").agg(F.lit(1).alias("_")).select(F.col("a").alias("node"), "a", "salt")
-    )
-    needs = needs.groupBy("node").agg(F.collect_list(F.struct("a", "salt")).alias("groups"))
-    texts = rows.join(needs, rows["doc_id"] == needs["node"]).select("doc_id", "text", "groups")
+    needs = needs.groupBy("node").agg(F.collect_list("group").alias("groups"))
+    texts = rows.join(needs.hint("shuffle_hash"), rows["doc_id"] == needs["node"]).select("doc_id", "text", "groups")
+    group = dict(texts.dtypes)["groups"]
 
     def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i in range(0, batch.num_rows, 128):
@@ -199,28 +200,73 @@ def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 [part.column("doc_id"), part.column("groups"), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "groups", "shingles"]
             )
 
-    group = "array<struct<a:long,salt:long>>"
     made = map_batches(texts, sets, f"doc_id long, groups {group}, shingles array<long>")
-    made = made.select("doc_id", F.explode("groups").alias("g"), "shingles").select("g.a", "g.salt", "doc_id", "shingles")
-
+    return made.select("doc_id", F.explode("groups").alias("g"), "shingles").select("g.*", "doc_id", "shingles")
+
+
+def _first_links(table: pa.Table) -> list[tuple[int, int]]:
+    """(visitor, resident): for each visitor the first resident that it is
+    linked with, by an index of the residents' shingles."""
+    ids, role = table.column("doc_id").to_numpy(), table.column("role").to_numpy()
+    lists = table.column("shingles").combine_chunks()
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    at = [values[ends[i] : ends[i + 1]] for i in range(len(ids))]
+    homes = np.flatnonzero(role == 0)
+    none = np.zeros(0, np.int64)
+    terms = np.concatenate([none, *[at[i] for i in homes]])
+    owner = np.repeat(np.arange(len(homes)), [len(at[i]) for i in homes])
+    order = np.argsort(terms, kind="stable")
+    terms, owner = terms[order], owner[order]
+    sizes = np.array([len(at[i]) for i in homes], np.int64)
+    out: dict[int, int] = {}
+    for v in np.flatnonzero(role == 1):
+        if int(ids[v]) in out or not len(homes):
+            continue
+        lo, hi = np.searchsorted(terms, at[v]), np.searchsorted(terms, at[v], side="right")
+        n = hi - lo
+        where = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(owner[where], minlength=len(homes))
+        hit = np.flatnonzero((100 * both >= PERCENT * (len(at[v]) + sizes - both)) & (both > 0) & (ids[homes] != ids[v]))
+        if len(hit):
+            out[int(ids[v])] = int(ids[homes[hit[0]]])
+    return list(out.items())
+
+
+def _linked(made: DataFrame, *keys: str) -> DataFrame:
     def test(table: pa.Table) -> pa.Table:
-        a = table.column("a")[0].as_py()
-        ids = table.column("doc_id").to_numpy()
-        lists = table.column("shingles").combine_chunks()
-        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-        sets_ = [values[ends[i] : ends[i + 1]].view(np.uint64) for i in range(len(ids))]
-        heads = [s for i, s in zip(ids, sets_, strict=True) if i == a]
-        ok = set()
-        for i, s in zip(ids, sets_, strict=True):
-            if i != a and i not in ok:
-                for h in heads:
-                    both = len(np.intersect1d(s, h, assume_unique=True))
-                    if both and 100 * both >= PERCENT * (len(s) + len(h) - both):
-                        ok.add(i)
-                        break
-        return pa.table({"a": pa.array([a] * len(ok), pa.int64()), "b": pa.array(sorted(ok), pa.int64())})
-
-    return made.groupBy("a", "salt").applyInArrow(test, _EDGE)
+        links = _first_links(table)
+        return pa.table({"a": pa.array([b for _, b in links], pa.int64()), "b": pa.array([a for a, _ in links], pa.int64())})
+
+    return made.groupBy(*keys).applyInArrow(test, _EDGE)
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) linked on their full sets.
+
+    Pairs of one ``a`` are dealt to groups of about GROUP.
+    """
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("salts"))
+    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+    to = lambda role: F.struct("a", "salt", F.lit(role).alias("role")).alias("group")
+    heads = dealt.groupBy("a", "salt").agg(F.lit(1).alias("_")).select(F.col("a").alias("node"), to(0))
+    return _linked(_with_sets(rows, dealt.select(F.col("b").alias("node"), to(1)).unionByName(heads)), "a", "salt")
+
+
+def confirmed_with(visits: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) of visitors with any member of the components they visit.
+
+    visits: node, comp.  A component's members are dealt to groups of about
+    RESIDENTS; a visitor goes to all of them and is linked once in each.
+    """
+    asked = visits.groupBy("comp").agg(F.lit(1).alias("_")).select("comp")
+    homes = labels.join(asked, "comp").select("node", "comp").unionByName(
+        asked.join(labels.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), "comp")
+    )
+    counts = homes.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / RESIDENTS).alias("salts"))
+    to = lambda role: F.struct("comp", F.col("salt").cast("long").alias("salt"), F.lit(role).alias("role")).alias("group")
+    dealt = homes.join(counts, "comp").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))).select("node", to(0))
+    calls = visits.join(counts, "comp").withColumn("salt", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int")))).select("node", to(1))
+    return _linked(_with_sets(rows, dealt.unionByName(calls)), "comp", "salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -242,15 +288,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-_PAIR = "a long, b long"
-
-
-def _across(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """a < b of different components that share a bucket and are near by
-    estimate; each bucket that spans components, in pairs of blocks."""
-    lab = labels.withColumnRenamed("node", "n")
-    at = members.join(lab, members["node"] == lab["n"], "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    at = written(at, "members")
+def _visits(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, comp): nodes near, by estimate, a member of another component in
+    a common bucket, the smaller component (then the later one) visiting."""
+    sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    lab = labels.join(sizes, "comp").select(F.col("node").alias("n"), "comp", "size")
+    at = members.join(lab, members["node"] == lab["n"], "left")
+    at = written(at.select("key", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size")), "members")
     open_ = (
         at.groupBy("key")
         .agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
@@ -261,14 +305,14 @@ def _across(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame
     with_blocks = at.join(open_, "key").withColumn("k", mine).join(reps.select("node", "n_shingles", *_SIG), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
     dealt = with_blocks.select("*", other).withColumn("i", F.least("k", "o")).withColumn("j", F.greatest("k", "o"))
+    most = int(PERMUTATIONS * (1 - (NEAR * (1 - 2.0**-BITS) + 2.0**-BITS)))
 
     def test(table: pa.Table) -> pa.Table:
-        node, comp, n, k, j = (table.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "k", "j"))
+        node, comp, size, n, k = (table.column(c).to_numpy() for c in ("node", "comp", "size", "n_shingles", "k"))
         sig = np.stack([table.column(s).to_numpy() for s in _SIG], axis=1).view(np.uint64)
-        i, j = int(table.column("i")[0].as_py()), int(j[0])
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(k == i), np.flatnonzero(k == j)
-        out_a, out_b = [], []
-        most = int(PERMUTATIONS * (1 - (NEAR * (1 - 2.0**-BITS) + 2.0**-BITS)))
+        found: set[tuple[int, int]] = set()
         for x in left:
             y = right[right > x] if i == j else right
             y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x]))]
@@ -278,11 +322,13 @@ def _across(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame
             v |= v >> np.uint64(1)
             v |= v >> np.uint64(2)
             y = y[np.bitwise_count(v & np.uint64(0x1111111111111111)).sum(axis=1) <= most]
-            out_a.append(np.minimum(node[y], node[x])), out_b.append(np.maximum(node[y], node[x]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+            goes = (size[x] < size[y]) | ((size[x] == size[y]) & (comp[x] > comp[y]))
+            found.update((int(node[x]), c) for c in comp[y[goes]].tolist())
+            found.update((c, int(comp[x])) for c in node[y[~goes]].tolist())
+        return pa.table({"node": pa.array([a for a, _ in found], pa.int64()), "comp": pa.array([b for _, b in found], pa.int64())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(test, _PAIR).groupBy("a", "b").agg(F.lit(1).alias("_")).drop("_").where("a < b")
+    out = dealt.groupBy("key", "i", "j").applyInArrow(test, "node long, comp long")
+    return out.groupBy("node", "comp").agg(F.lit(1).alias("_")).drop("_")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,13 +345,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = written(heads, "heads")
     members = written(band.join(heads.select("key"), "key"), "bucket-members")
     near = written(_candidates(members, heads, reps), "candidates")
-    # the nearest partner of each class first; ties by the smaller one
-    best = near.groupBy("b").agg(F.max("est").alias("est")).join(near, ["b", "est"]).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    tried = written(best, "tried")
-    links = written(confirmed(tried, rows), "links")
+    # the nearest partners of each class first; it has as many as bands, at most twice
+    order = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("est"), "a"))
+    links = written(confirmed(written(near.withColumn("r", order).where(F.col("r") <= FIRST).select("a", "b"), "first"), rows), "links")
     labels = components(links)
-    rest = _across(members, reps, labels).join(tried, ["a", "b"], "left_anti")
-    more = written(confirmed(written(rest, "rest"), rows), "more-links")
+    visits = written(_visits(members, reps, labels), "visits")
+    more = written(confirmed_with(visits, labels, rows), "more-links")
     labels = components(links.unionByName(more))
     label = classes.join(labels, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
     comp = F.coalesce("comp", "doc_id")
