@@ -290,7 +290,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _visits(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, comp): nodes near, by estimate, a member of another component in
-    a common bucket, the smaller component (then the later one) visiting."""
+    a common bucket, the smaller component (then the later one) visiting.
+
+    A pair counts in the first bucket that its two members share, so it is
+    told once, however many bands they have in common."""
     sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     lab = labels.join(sizes, "comp").select(F.col("node").alias("n"), "comp", "size")
     at = members.join(lab, members["node"] == lab["n"], "left")
@@ -302,7 +305,7 @@ def _visits(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame
         .select("key", "nb")
     )
     mine = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
-    with_blocks = at.join(open_, "key").withColumn("k", mine).join(reps.select("node", "n_shingles", *_SIG), "node")
+    with_blocks = at.join(open_, "key").withColumn("k", mine).join(reps.select("node", "n_shingles", "bands", *_SIG), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
     dealt = with_blocks.select("*", other).withColumn("i", F.least("k", "o")).withColumn("j", F.greatest("k", "o"))
     most = int(PERMUTATIONS * (1 - (NEAR * (1 - 2.0**-BITS) + 2.0**-BITS)))
@@ -310,6 +313,8 @@ def _visits(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame
     def test(table: pa.Table) -> pa.Table:
         node, comp, size, n, k = (table.column(c).to_numpy() for c in ("node", "comp", "size", "n_shingles", "k"))
         sig = np.stack([table.column(s).to_numpy() for s in _SIG], axis=1).view(np.uint64)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        band = int(np.flatnonzero(bands[0] == table.column("key")[0].as_py())[0])
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(k == i), np.flatnonzero(k == j)
         found: set[tuple[int, int]] = set()
@@ -322,6 +327,7 @@ def _visits(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame
             v |= v >> np.uint64(1)
             v |= v >> np.uint64(2)
             y = y[np.bitwise_count(v & np.uint64(0x1111111111111111)).sum(axis=1) <= most]
+            y = y[np.argmax(bands[y] == bands[x], axis=1) == band]
             goes = (size[x] < size[y]) | ((size[x] == size[y]) & (comp[x] > comp[y]))
             found.update((int(node[x]), c) for c in comp[y[goes]].tolist())
             found.update((c, int(comp[x])) for c in node[y[~goes]].tolist())
