@@ -36,8 +36,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,}={0,2}")
+# a run may follow '=': NAME=<key>, or the padding of a run before it
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}={0,2}")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}")
+#: In hex: a SEQUENCE, the length of an SSH field, "openssh-key".
+_HEX_STARTS = ("30", "000000", b"openssh-key".hex())
 _SSH_NAMES = (b"ssh-", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-")
 
 
@@ -138,8 +141,13 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         elif body is not None and is_ssh_key(body):
             found.append((m.start(), m.end(), "ssh"))
     for m in _HEX_ANY.finditer(text):
-        if m[0][:2] == "30" and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
+        if len(m[0]) % 2 or not m[0].lower().startswith(_HEX_STARTS):
+            continue
+        body = bytes.fromhex(m[0])
+        if is_der_key(body):
             found.append((m.start(), m.end(), "der"))
+        elif is_ssh_key(body):
+            found.append((m.start(), m.end(), "ssh"))
     return sorted(set(found), key=lambda x: (x[0], KINDS[x[2]], x[1]))
 
 

@@ -83,6 +83,16 @@ def test_der_needs_consistent_lengths():
     assert not secret_scan.is_ssh_key(SSH[:-1])
 
 
+def test_keys_after_a_name_or_in_hex():
+    der, ssh = base64.b64encode(DER).decode(), base64.b64encode(SSH).decode()
+    for name in ("KEY=", "private_key=", "export DEPLOY=", "a==", "x: ", '"k"="'):
+        for kind, key in (("der", der), ("ssh", ssh), ("der", DER.hex()), ("ssh", SSH.hex()), ("ssh", SSH.hex().upper())):
+            text = f"é {name}{key} end"
+            assert (2 + len(name), 2 + len(name) + len(key), kind) in secret_scan.scan(text), text
+    padded = base64.b64encode(DER + b"").decode().rstrip("=") + "=="
+    assert [k for _, _, k in secret_scan.scan(f"{'A' * 40}=={padded}")] == ["der"]
+
+
 PERSONAL = [
     (31, "mail a.b+c@d-e.fr_x@y.org or a@b.c.d.e x@y and @@ a@b.c"),
     (32, "ip 1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.255 999.1.2.3.4 1.2.3.4"),
