@@ -12,6 +12,9 @@ hash of their id.  So the model that goes to the workers is bounded too.
 A text is parsed in blocks of ``BLOCK`` symbols; a block's end ends a phrase.
 All blocks of a batch advance together, one symbol at a time.
 
+Every learned letter is a symbol of its own; letters that were not learned are
+one more symbol, which no automaton has.
+
 A null text, or one without letters, is ``und`` with score 0.  Without any
 labelled document every text is ``und``.  Repeated rows give repeated results.
 """
@@ -31,13 +34,15 @@ from .shared import id_text, map_batches, slices
 
 UND = "und"
 #: Characters of labelled text learned from, in all; of one document at most;
-#: symbols of the alphabet; languages at most (more is an error, not a cut).
-SAMPLE_CHARS, DOC_CHARS, ALPHABET, MAX_LANGUAGES = 320_000, 4_000, 62, 64
+#: languages at most (more is an error, not a cut).
+SAMPLE_CHARS, DOC_CHARS, MAX_LANGUAGES = 320_000, 4_000, 64
+#: Languages with more symbols than this have their transitions hashed.
+DENSE = 64
 #: Symbols of a block, code points of a slice of a batch.
 BLOCK, SLICE = 512, 2_000_000
 #: Above this many bits a symbol no learned language is near (text of learned
 #: languages takes 2 to 5, random letters 10); texts below FAR_CHARS are too
-#: short to tell and stay.
+#: short to tell and stay.  Languages of many symbols take more: see Model.far.
 FAR_BITS, FAR_CHARS = 8.0, 40
 
 
@@ -51,16 +56,30 @@ def code_points(text: str) -> np.ndarray:
 
 
 class Automaton:
-    """Transitions of the suffix automaton of ``symbols``, as one table.
+    """Transitions of the suffix automaton of ``symbols``, which are below k.
 
-    Where a state lacks a transition, the entry is the root's, marked: the
-    phrase ends before the symbol, which begins the next.  States are kept
-    multiplied by the alphabet's size.
+    Symbols are renumbered: those that occur, then all others as one, then
+    padding (k - 1), which keeps the state.  Where a state lacks a transition,
+    the root's is taken, marked: the phrase ends before the symbol, which
+    begins the next.  With up to DENSE symbols transitions are one table, whose
+    states are kept multiplied by the number of symbols; else they are hashed.
     """
 
     MARKED = np.int32(1 << 30)
 
-    def __init__(self, symbols: list[int], k: int) -> None:
+    def __init__(self, symbols: np.ndarray, k: int) -> None:
+        own = np.unique(symbols)
+        self.local = np.full(k, len(own), np.min_scalar_type(len(own) + 1))
+        self.local[own] = np.arange(len(own))
+        self.local[k - 1] = len(own) + 1
+        self.bits, self.k = math.log2(max(2, len(symbols))), len(own) + 2
+        nexts = self._states(self.local[symbols].tolist())
+        self.table = self._dense(nexts) if len(own) <= DENSE else None
+        if self.table is None:
+            self._hash(nexts)
+
+    @staticmethod
+    def _states(symbols: list[int]) -> list[dict[int, int]]:
         nexts: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in symbols:
@@ -86,6 +105,10 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
+        return nexts
+
+    def _dense(self, nexts: list[dict[int, int]]) -> np.ndarray:
+        k = self.k
         root = np.zeros(k, np.int32)
         for c, s in nexts[0].items():
             root[c] = s * k
@@ -93,33 +116,96 @@ class Automaton:
         for i, out in enumerate(nexts):
             for c, s in out.items():
                 table[i, c] = s * k
-        self.table, self.bits = table.ravel(), math.log2(max(2, len(symbols)))
+        table[:, k - 1] = np.arange(len(nexts), dtype=np.int32) * k
+        return table.ravel()
+
+    def _hash(self, nexts: list[dict[int, int]]) -> None:
+        """Open addressing, a quarter full at most; -1 is a free slot."""
+        self.root = np.zeros(self.k, np.int64)
+        for c, s in nexts[0].items():
+            self.root[c] = s
+        todo = np.array([i * self.k + c for i, out in enumerate(nexts) for c in out], np.int64)
+        to = np.array([s for out in nexts for s in out.values()], np.int32)
+        self.log = (4 * len(todo)).bit_length()
+        self.keys, self.to = np.full(1 << self.log, -1, np.int64), np.zeros(1 << self.log, np.int32)
+        at = self._slots(todo)
+        while len(todo):
+            free = np.flatnonzero(self.keys[at] < 0)
+            free = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[free]], self.to[at[free]] = todo[free], to[free]
+            left = np.ones(len(todo), bool)
+            left[free] = False
+            todo, to, at = todo[left], to[left], (at[left] + 1) & (len(self.keys) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.log)).astype(np.int64)
+
+    def _found(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key leads; -1 where it leads nowhere."""
+        at = self._slots(keys)
+        got = self.keys[at]
+        out = np.where(got == keys, self.to[at], -1).astype(np.int64)
+        on = np.flatnonzero((got != keys) & (got >= 0))
+        while len(on):
+            at[on] = (at[on] + 1) & (len(self.keys) - 1)
+            got = self.keys[at[on]]
+            hit = got == keys[on]
+            out[on[hit]] = self.to[at[on[hit]]]
+            on = on[~hit & (got >= 0)]
+        return out
+
+    def phrases(self, steps: np.ndarray) -> np.ndarray:
+        """Phrases of each column of ``steps``."""
+        steps = self.local[steps]
+        marks = np.ones(steps.shape[1], np.int32)
+        if self.table is None:
+            state = np.zeros(steps.shape[1], np.int64)
+            for c in steps:
+                got, kept = self._found(state * self.k + c), c == self.k - 1
+                ends = (got < 0) & ~kept
+                marks += ends
+                state = np.where(kept, state, np.where(ends, self.root[c], got))
+            return marks
+        state = np.zeros(steps.shape[1], np.int32)
+        for c in steps:
+            got = self.table[state + c]
+            marks += got >> 30
+            state = got & (self.MARKED - 1)
+        return marks
 
 
 class Model:
     """Alphabet and automata, learned from lists of texts by language."""
 
-    def __init__(self, samples: dict[str, list[str]], alphabet: int = ALPHABET) -> None:
+    def __init__(self, samples: dict[str, list[str]]) -> None:
         self.langs = sorted(samples)
         texts = {lang: [t.lower() for t in samples[lang]] for lang in self.langs}
         every = np.concatenate([np.zeros(0, np.uint32), *[code_points(t) for ts in texts.values() for t in ts]])
-        seen, counts = np.unique(every[letters()[every]], return_counts=True)
-        self.alphabet = np.sort(seen[np.lexsort((seen, -counts))][:alphabet])
+        self.alphabet = np.unique(every[letters()[every]])
         #: blank, letters, other letters, and the padding, which keeps the state
         self.k = len(self.alphabet) + 3
         self.automata = []
-        for lang in self.langs:
+        #: bits a symbol that are still near, if more than usual: of many symbols
+        #: even learned text takes many, so halfway from what one half of the
+        #: sample takes by the other to a phrase for each letter
+        self.far = np.zeros(len(self.langs))
+        for i, lang in enumerate(self.langs):
             joined = np.concatenate([np.zeros(0, np.uint8), *[self.symbols(t)[0] for t in texts[lang]]])
-            self.automata.append(Automaton(joined.tolist(), self.k))
-        for a in self.automata:  # padding: stay where you are, no phrase
-            t = a.table.reshape(-1, self.k)
-            t[:, self.k - 1] = np.arange(len(t), dtype=np.int32) * self.k
+            self.automata.append(Automaton(joined, self.k))
+            if self.automata[i].table is None:
+                half = Automaton(joined[: len(joined) // 2], self.k)
+                rest = joined[len(joined) // 2 :]
+                steps = np.full(-(-len(rest) // BLOCK) * BLOCK, self.k - 1, rest.dtype)
+                steps[: len(rest)] = rest
+                typical = half.phrases(steps.reshape(-1, BLOCK).T).sum() * half.bits / len(rest)
+                most = self.automata[i].bits * np.count_nonzero(joined) / len(joined)
+                self.far[i] = (min(typical, most) + most) / 2
 
     @property
     def lut(self) -> np.ndarray:
         if not hasattr(self, "_lut"):
-            lut = np.where(letters(), self.k - 2, 0).astype(np.uint8)
-            lut[self.alphabet] = np.arange(1, len(self.alphabet) + 1, dtype=np.uint8)
+            lut = np.where(letters(), self.k - 2, 0).astype(np.min_scalar_type(self.k))
+            lut[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
             self._lut = lut
         return self._lut
 
@@ -143,7 +229,7 @@ class Model:
         n = np.array([len(parts[i][0]) for i in rows])
         blocks = -(-n // BLOCK)
         owner = np.repeat(np.arange(len(rows)), blocks)
-        lanes = np.full((len(owner), BLOCK), self.k - 1, np.uint8)
+        lanes = np.full((len(owner), BLOCK), self.k - 1, self.lut.dtype)
         first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
         for j, i in enumerate(rows):
             s = parts[i][0]
@@ -156,13 +242,7 @@ class Model:
 
     @staticmethod
     def _phrases(a: Automaton, steps: np.ndarray) -> np.ndarray:
-        state = np.zeros(steps.shape[1], np.int32)
-        marks = np.ones(steps.shape[1], np.int32)
-        for c in steps:
-            got = a.table[state + c]
-            marks += got >> 30
-            state = got & (Automaton.MARKED - 1)
-        return marks
+        return a.phrases(steps)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Language, score and bits a symbol of each text."""
@@ -253,7 +333,8 @@ def in_known_language(docs: DataFrame, model: Model, text_col: str = "text", far
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = batch.column(at).to_pylist()
         langs, _, bits = _batch_predict(shipped.value, texts)
-        near = [lang != UND and (b <= far_bits or len(t) < FAR_CHARS) for lang, b, t in zip(langs, bits, texts, strict=True)]
+        far = {lang: max(far_bits, f) for lang, f in zip(shipped.value.langs, shipped.value.far.tolist(), strict=True)}
+        near = [lang != UND and (b <= far[lang] or len(t) < FAR_CHARS) for lang, b, t in zip(langs, bits, texts, strict=True)]
         yield batch.filter(pa.array(near, pa.bool_()))
 
     return map_batches(docs, fn, docs.schema)

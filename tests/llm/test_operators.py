@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from taketriage.llm import bpe, decontam, fingerprint, langid, linededup, neardup, pii, queries, secret_scan, sharding, token_counts
 
-from .conftest import EDGES, SCHEMA
+from .conftest import EDGES, SCHEMA, WORDS
 
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -174,6 +174,43 @@ def test_phrases_are_fewest():
     assert langid.Model._phrases(model.automata[0], steps)[0] == n
 
 
+def _scripts(seed):
+    """Texts in two languages of many letters in common (two letters make a
+    word, other words in each), and the words of a script by ``first``."""
+    import random
+
+    def text(first, mix, r, n=60):
+        return " ".join("".join(chr(first + (w * mix + j * 7) % 900) for j in range(2)) for w in (r.randrange(400) for _ in range(n)))
+
+    r = random.Random(seed)
+    return lambda lang, n=60: text({"a": 0x4E00, "b": 0x4E00, "far": 0xAC00}[lang], {"a": 3, "b": 11, "far": 5}[lang], r, n)
+
+
+def test_languages_of_large_alphabets(spark):
+    make = _scripts(3)
+    import random
+
+    r = random.Random(5)
+    english = [" ".join(r.choice(WORDS["en"]) for _ in range(60)) for _ in range(61)]
+    plain = english.pop()
+    model = langid.Model({"a": [make("a") for _ in range(60)], "b": [make("b") for _ in range(60)], "en": english})
+    assert len(model.alphabet) > 500 and [x.table is None for x in model.automata] == [True, True, False]
+    texts = [(i, make(lang), lang) for i, lang in enumerate(["a", "b"] * 20)]
+    assert model.predict([t for _, t, _ in texts])[0] == [lang for _, _, lang in texts]
+    docs = spark.createDataFrame([*texts, *[(100 + i, make("far"), "far") for i in range(20)], (200, plain, "en")], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in langid.in_known_language(docs, model).collect()) == [*range(40), 200]
+
+
+def test_hashed_transitions_are_those_of_the_table(monkeypatch):
+    texts = {"a": ["abracadabra alakazam"], "b": ["zzzz qqqq été", "über"]}
+    asked = ["abrakadabram zz", "été über q", "x", "Ωμέγα abra", "a" * 1000]
+    dense = langid.Model(texts)
+    monkeypatch.setattr(langid, "DENSE", 0)
+    hashed = langid.Model(texts)
+    assert all(x.table is not None and y.table is None for x, y in zip(dense.automata, hashed.automata, strict=True))
+    assert dense.bits(asked).tolist() == hashed.bits(asked).tolist()
+
+
 # ---- fingerprints
 
 def test_fingerprints(spark, corpus, edges):
