@@ -297,15 +297,16 @@ def _visits(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame
     sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     lab = labels.join(sizes, "comp").select(F.col("node").alias("n"), "comp", "size")
     at = members.join(lab, members["node"] == lab["n"], "left")
-    at = written(at.select("key", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size")), "members")
+    at = written(at.select("key", "node", "digest", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size")), "members")
     open_ = (
         at.groupBy("key")
         .agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
         .where("c0 < c1")
         .select("key", "nb")
     )
-    mine = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
-    with_blocks = at.join(open_, "key").withColumn("k", mine).join(reps.select("node", "n_shingles", "bands", *_SIG), "node")
+    # by the set's digest: a node may have several texts, and each is in its own buckets only
+    mine = F.pmod(F.xxhash64("digest"), F.col("nb")).cast("int")
+    with_blocks = at.join(open_, "key").withColumn("k", mine).join(reps.select("node", "digest", "n_shingles", "bands", *_SIG), ["node", "digest"]).drop("digest")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
     dealt = with_blocks.select("*", other).withColumn("i", F.least("k", "o")).withColumn("j", F.greatest("k", "o"))
     most = int(PERMUTATIONS * (1 - (NEAR * (1 - 2.0**-BITS) + 2.0**-BITS)))
@@ -345,8 +346,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sigs.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
     classes = written(classes, "classes")
     first = sigs.withColumnRenamed("doc_id", "node").join(classes, ["digest", "node"])
-    reps = written(first.select("node", "n_shingles", "bands", *_SIG), "classes-signed")
-    band = reps.select("node", F.explode("bands").alias("key"))
+    reps = written(first.select("node", "digest", "n_shingles", "bands", *_SIG), "classes-signed")
+    band = reps.select("node", "digest", F.explode("bands").alias("key"))
     heads = band.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     heads = written(heads, "heads")
     members = written(band.join(heads.select("key"), "key"), "bucket-members")

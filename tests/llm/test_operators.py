@@ -485,6 +485,19 @@ def test_near_duplicates_in_small_blocks(spark, corpus, monkeypatch):
     assert rows(neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == components(docs)
 
 
+def test_several_texts_under_one_id(spark):
+    """Ids (null, 50) with texts of their own buckets, near to others' texts at
+    a resemblance of two thirds, so in common buckets, yet not linked."""
+    docs = []
+    for k in range(8):
+        words = [f"w{k}x{i}" for i in range(204)]
+        near = [w + "y" if i % 24 == 12 else w for i, w in enumerate(words)]
+        docs += [(None if k % 2 else 50, " ".join(near)), (100 + 2 * k, " ".join(words)), (101 + 2 * k, " ".join([*words, "tail"]))]
+    got = rows(neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)))
+    assert got == components(docs)
+    assert {r[2] for r in got} == {None, 50, *range(100, 116, 2)}
+
+
 def test_near_duplicate_edges(spark, empty, clashing):
     assert neardup.near_duplicates(empty).count() == 0
     kept = neardup.without_near_duplicates(clashing)
