@@ -132,6 +132,21 @@ def test_pii(spark, corpus):
     assert len(scores[33].split(",")) == len(spans[33].split(",")) and "0.95" in scores[33]
 
 
+def test_iban_ends_with_its_country_length(spark):
+    cases = [
+        ("IBAN ES9121000418450200051332 BIC CAIXESBBXXX", ["ES9121000418450200051332"]),
+        ("IBAN BE68 5390 0754 7034 EUR 100", ["BE68 5390 0754 7034"]),
+        ("IBAN AT611904300234573201 A", ["AT611904300234573201"]),
+        ("IBAN BE68 5390 0754 7034 BANK CODE", ["BE68 5390 0754 7034"]),
+        ("IBAN BE68 5390 0754 7034 DE89 3704 0044 0532 0130 00 EUR", ["BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"]),
+        ("IBAN NO93 8601 1117 947 MT84MALT011000012345MTLCAST001S GB82 WEST 1234 5698 7654 32", ["NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S", "GB82 WEST 1234 5698 7654 32"]),
+        ("IBAN BE68539007547035 EUR", []),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: [cases[r["doc_id"]][0][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "iban"] for r in pii.pii_spans(docs).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
 # ---- language
 
 def test_language_id(spark, corpus_df, corpus):
