@@ -6,7 +6,8 @@ through the matcher at once; a run of white space too long for the matcher is
 one match of the pattern and is encoded as such.
 
 A null text counts as empty; an empty text has no ids and decodes to no
-bytes.  Repeated rows give repeated results.
+bytes.  Repeated rows give repeated results; an empty table gives no rows;
+other columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import id_text, map_batches
+from .shared import by_bytes, id_text, map_batches
 
 #: Code points that go through the matcher at once, and the longest run of
 #: white space that does.
@@ -100,10 +102,9 @@ def encoded(
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks_path, pattern)
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            ids = [encode(t, enc) for t in part.column("text").to_pylist()]
-            raw = [decode(x, enc) for x in ids]
+        for part in by_bytes(batch, most=1 << 20):  # ids are several times the text
+            ids = [np.array(encode(t.as_py(), enc), np.int32) for t in part.column("text")]
+            raw = [decode(x.tolist(), enc) for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(raw, pa.binary())],
                 ["doc_id", "ids", "decoded"],
@@ -119,7 +120,7 @@ def token_lengths(
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks_path, pattern)
-        n = [len(encode(t, enc)) for t in batch.column("text").to_pylist()]
+        n = [len(encode(t.as_py(), enc)) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     return map_batches(id_text(docs, id_col, text_col), fn, "doc_id long, n_tokens long")

@@ -59,37 +59,36 @@ def _block_words(block: bytes, word: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
 
 
-def _cut(text: bytes, word: np.ndarray) -> list[bytes]:
-    """Pieces of at most BLOCK bytes, cut at separators."""
-    out, at = [], 0
-    while len(text) - at > BLOCK:
-        window = np.frombuffer(text, np.uint8, BLOCK, at)
-        gaps = np.flatnonzero(~word[window])
-        if not len(gaps):
-            return [*out, None, text[at:]]  # one word longer than a block
-        end = at + int(gaps[-1]) + 1
-        out.append(text[at:end])
-        at = end
-    return [*out, text[at:]]
+def _word_hash(text: bytes) -> np.ndarray:
+    """The hash of one word of any length, as a block that held it would give."""
+    up, total, scale = _powers()[0], 0, 1
+    for i in range(0, len(text), BLOCK):
+        arr = np.frombuffer(text, np.uint8, min(BLOCK, len(text) - i), i).astype(np.uint64) + np.uint64(1)
+        total += scale * int((arr * up[: len(arr)]).sum())
+        scale = scale * pow(_BASE, BLOCK, 1 << 64) & _MASK
+    return mixed(np.array([(total + len(text)) & _MASK], np.uint64))
 
 
 def _long_words(text: bytes, word: np.ndarray) -> np.ndarray:
     """Hashes of the words of a text of any length, words of any length too."""
-    import xxhash
-
-    out, pieces = [], _cut(text, word)
-    while pieces:
-        piece = pieces.pop(0)
-        if piece is not None:
-            out.append(_block_words(piece, word)[0])
-            continue
-        rest = pieces.pop(0)
-        arr = word[np.frombuffer(rest, np.uint8)]
-        start = int(np.argmax(arr))
-        stop = start + int(np.argmin(arr[start:])) if not arr[start:].all() else len(rest)
-        out.append(np.array([xxhash.xxh3_64_intdigest(rest[start:stop])], np.uint64))
-        pieces = _cut(rest[stop:], word)
-    return np.concatenate([np.zeros(0, np.uint64), *out])
+    out, at = [np.zeros(0, np.uint64)], 0
+    inside = lambda a: word[np.frombuffer(text, np.uint8, min(BLOCK, len(text) - a), a)]
+    while at < len(text):
+        here = inside(at)
+        end = at + len(here)
+        if end < len(text) and here.all():  # one word, longer than a block or as long
+            while end < len(text):
+                here = inside(end)
+                end += len(here) if here.all() else int(np.argmin(here))
+                if not here.all():
+                    break
+            out.append(_word_hash(text[at:end]))
+        else:
+            if end < len(text):
+                end = at + int(np.flatnonzero(~here)[-1]) + 1
+            out.append(_block_words(text[at:end], word)[0])
+        at = end
+    return np.concatenate(out)
 
 
 def word_hashes(texts: list[bytes | None], word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
