@@ -7,16 +7,22 @@ address in the labelled text takes, per character), the closer the language.
 
 The automata are learned from a bounded sample: at most ``SAMPLE_CHARS``
 characters in all, shared evenly by the languages, from documents drawn by a
-hash of their id.  So the model that goes to the workers is bounded too.
+hash of their id; of the ``MAX_LANGUAGES`` languages with the most labelled
+text, should there be more.  So the model that goes to the workers is bounded
+too: a state has its transitions as a set of bits and a place in one list.
 
-A text is parsed in blocks of ``BLOCK`` symbols; a block's end ends a phrase.
-All blocks of a batch advance together, one symbol at a time.
+A text is parsed in blocks of ``BLOCK`` symbols, all blocks of a batch together,
+one symbol at a time, and then those again, from the state that the block
+before ends in, whose phrases do not end as they did: so a phrase goes on over
+the end of a block, and the count is that of one parse of the whole text.
 
 Every learned letter is a symbol of its own; letters that were not learned are
-one more symbol, which no automaton has.
+one more symbol, which no automaton has: a phrase each.
 
 A null text, or one without letters, is ``und`` with score 0.  Without any
-labelled document every text is ``und``.  Repeated rows give repeated results.
+labelled document every text is ``und``.  Repeated rows give repeated results;
+an empty table gives no rows; other columns of any name are ignored.  Texts of
+any length are parsed whole.
 """
 
 from __future__ import annotations
@@ -34,16 +40,17 @@ from .shared import id_text, map_batches, slices
 
 UND = "und"
 #: Characters of labelled text learned from, in all; of one document at most;
-#: languages at most (more is an error, not a cut).
-SAMPLE_CHARS, DOC_CHARS, MAX_LANGUAGES = 320_000, 4_000, 64
+#: languages at most.
+SAMPLE_CHARS, DOC_CHARS, MAX_LANGUAGES = 320_000, 4_000, 512
 #: Languages with more symbols than this have their transitions hashed.
-DENSE = 64
-#: Symbols of a block, code points of a slice of a batch.
-BLOCK, SLICE = 512, 2_000_000
-#: Above this many bits a symbol no learned language is near (text of learned
-#: languages takes 2 to 5, random letters 10); texts below FAR_CHARS are too
-#: short to tell and stay.  Languages of many symbols take more: see Model.far.
-FAR_BITS, FAR_CHARS = 8.0, 40
+BITMAP = 62
+#: Symbols of a block; steps after which states are noted; code points of a
+#: slice of a batch.
+BLOCK, STEPS, SLICE = 512, 32, 2_000_000
+#: Above this many bits a symbol, the first phrase not counted, no learned
+#: language is near (text of learned languages takes 2 to 5, random letters
+#: 10).  Languages of many symbols take more: see Model.far.
+FAR_BITS = 8.0
 
 
 @lru_cache(maxsize=1)
@@ -59,23 +66,27 @@ class Automaton:
     """Transitions of the suffix automaton of ``symbols``, which are below k.
 
     Symbols are renumbered: those that occur, then all others as one, then
-    padding (k - 1), which keeps the state.  Where a state lacks a transition,
-    the root's is taken, marked: the phrase ends before the symbol, which
-    begins the next.  With up to DENSE symbols transitions are one table, whose
-    states are kept multiplied by the number of symbols; else they are hashed.
+    padding (k - 1), which keeps the state.  Where a state lacks a transition
+    the phrase has ended before the symbol, which begins the next: the root's
+    transition is taken.  The last state has none; parsing begins there, and a
+    symbol that the root lacks leads there, so it is a phrase of its own.
     """
 
-    MARKED = np.int32(1 << 30)
-
     def __init__(self, symbols: np.ndarray, k: int) -> None:
         own = np.unique(symbols)
         self.local = np.full(k, len(own), np.min_scalar_type(len(own) + 1))
         self.local[own] = np.arange(len(own))
         self.local[k - 1] = len(own) + 1
         self.bits, self.k = math.log2(max(2, len(symbols))), len(own) + 2
-        nexts = self._states(self.local[symbols].tolist())
-        self.table = self._dense(nexts) if len(own) <= DENSE else None
-        if self.table is None:
+        nexts = [*self._states(self.local[symbols].tolist()), {}]
+        self.end = len(nexts) - 1
+        self.root = np.full(self.k, self.end, np.int32)
+        for c, s in nexts[0].items():
+            self.root[c] = s
+        self.sets = None
+        if len(own) <= BITMAP:
+            self._bitmaps(nexts)
+        else:
             self._hash(nexts)
 
     @staticmethod
@@ -107,26 +118,16 @@ class Automaton:
             last = cur
         return nexts
 
-    def _dense(self, nexts: list[dict[int, int]]) -> np.ndarray:
-        k = self.k
-        root = np.zeros(k, np.int32)
-        for c, s in nexts[0].items():
-            root[c] = s * k
-        table = np.tile(root | self.MARKED, (len(nexts), 1))
-        for i, out in enumerate(nexts):
-            for c, s in out.items():
-                table[i, c] = s * k
-        table[:, k - 1] = np.arange(len(nexts), dtype=np.int32) * k
-        return table.ravel()
+    def _bitmaps(self, nexts: list[dict[int, int]]) -> None:
+        self.sets = np.array([sum(1 << c for c in out) for out in nexts], np.uint64)
+        self.first = np.concatenate([[0], np.cumsum([len(out) for out in nexts])[:-1]]).astype(np.int32)
+        self.to = np.array([s for out in nexts for _, s in sorted(out.items())] or [0], np.int32)
 
     def _hash(self, nexts: list[dict[int, int]]) -> None:
-        """Open addressing, a quarter full at most; -1 is a free slot."""
-        self.root = np.zeros(self.k, np.int64)
-        for c, s in nexts[0].items():
-            self.root[c] = s
+        """Open addressing, half full at most; -1 is a free slot."""
         todo = np.array([i * self.k + c for i, out in enumerate(nexts) for c in out], np.int64)
         to = np.array([s for out in nexts for s in out.values()], np.int32)
-        self.log = (4 * len(todo)).bit_length()
+        self.log = (2 * len(todo)).bit_length()
         self.keys, self.to = np.full(1 << self.log, -1, np.int64), np.zeros(1 << self.log, np.int32)
         at = self._slots(todo)
         while len(todo):
@@ -154,24 +155,53 @@ class Automaton:
             on = on[~hit & (got >= 0)]
         return out
 
-    def phrases(self, steps: np.ndarray) -> np.ndarray:
-        """Phrases of each column of ``steps``."""
-        steps = self.local[steps]
-        marks = np.ones(steps.shape[1], np.int32)
-        if self.table is None:
-            state = np.zeros(steps.shape[1], np.int64)
-            for c in steps:
-                got, kept = self._found(state * self.k + c), c == self.k - 1
-                ends = (got < 0) & ~kept
-                marks += ends
-                state = np.where(kept, state, np.where(ends, self.root[c], got))
-            return marks
-        state = np.zeros(steps.shape[1], np.int32)
+    def run(self, steps: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each column of ``steps`` (renumbered), entered
+        in ``state``, and the state it is left in."""
+        marks = np.zeros(steps.shape[1], np.int32)
+        pad = self.k - 1
         for c in steps:
-            got = self.table[state + c]
-            marks += got >> 30
-            state = got & (self.MARKED - 1)
-        return marks
+            if self.sets is None:
+                got = self._found(state.astype(np.int64) * self.k + c)
+                ends, kept = got < 0, c == pad
+            else:
+                sets, at = self.sets[state], c.astype(np.uint64)
+                below = np.bitwise_count(sets & ((np.uint64(1) << at) - np.uint64(1)))
+                got = self.to[np.minimum(self.first[state] + below, len(self.to) - 1)]
+                ends, kept = (sets >> at) & np.uint64(1) == 0, c == pad
+            ends &= ~kept
+            marks += ends
+            state = np.where(kept, state, np.where(ends, self.root[c], got)).astype(np.int32)
+        return marks, state
+
+    def phrases(self, steps: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Phrases of each text, whose blocks are the columns of ``steps`` from
+        each of ``first`` on."""
+        steps = self.local[steps]
+        n, width = steps.shape
+        cuts = [slice(i, i + STEPS) for i in range(0, n, STEPS)]
+        marks, states = np.zeros((len(cuts), width), np.int32), np.zeros((len(cuts), width), np.int32)
+        entered = np.full(width, self.end, np.int32)
+        state = entered
+        for i, cut in enumerate(cuts):
+            marks[i], state = self.run(steps[cut], state)
+            states[i] = state
+        begins = np.zeros(width, bool)
+        begins[first] = True
+        while True:
+            before = np.where(begins, self.end, np.roll(states[-1], 1))
+            todo = np.flatnonzero(before != entered)
+            if not len(todo):
+                return np.add.reduceat(marks.sum(axis=0), first)
+            entered[todo] = before[todo]
+            state = before[todo]
+            for i, cut in enumerate(cuts):
+                marks[i, todo], state = self.run(steps[cut][:, todo], state)
+                off = states[i, todo] != state
+                states[i, todo] = state
+                todo, state = todo[off], state[off]
+                if not len(todo):
+                    break
 
 
 class Model:
@@ -192,12 +222,10 @@ class Model:
         for i, lang in enumerate(self.langs):
             joined = np.concatenate([np.zeros(0, np.uint8), *[self.symbols(t)[0] for t in texts[lang]]])
             self.automata.append(Automaton(joined, self.k))
-            if self.automata[i].table is None:
+            if self.automata[i].sets is None:
                 half = Automaton(joined[: len(joined) // 2], self.k)
                 rest = joined[len(joined) // 2 :]
-                steps = np.full(-(-len(rest) // BLOCK) * BLOCK, self.k - 1, rest.dtype)
-                steps[: len(rest)] = rest
-                typical = half.phrases(steps.reshape(-1, BLOCK).T).sum() * half.bits / len(rest)
+                typical = half.phrases(*self._blocks([rest]))[0] * half.bits / len(rest)
                 most = self.automata[i].bits * np.count_nonzero(joined) / len(joined)
                 self.far[i] = (min(typical, most) + most) / 2
 
@@ -219,51 +247,50 @@ class Model:
         keep = np.concatenate([np.ones(1, bool), (s[1:] != 0) | (s[:-1] != 0)])
         return s[keep], bool(s.any())
 
-    def bits(self, texts: list[str]) -> np.ndarray:
-        """Bits a symbol by text and language; infinite without letters."""
-        out = np.full((len(texts), len(self.langs)), np.inf)
+    def _blocks(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The parts in columns of BLOCK symbols, and the first column of each."""
+        blocks = np.array([-(-len(s) // BLOCK) for s in parts])
+        first = np.cumsum(blocks) - blocks
+        lanes = np.full((blocks.sum(), BLOCK), self.k - 1, self.lut.dtype)
+        for s, at, n in zip(parts, first, blocks, strict=True):
+            lanes[at : at + n].reshape(-1)[: len(s)] = s
+        return np.ascontiguousarray(lanes.T), first
+
+    def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits a symbol by text and language, infinite without letters; and
+        without each text's first phrase."""
+        out = np.full((2, len(texts), len(self.langs)), np.inf)
         parts = [self.symbols(t.lower()) for t in texts]
         rows = [i for i, (_, any_) in enumerate(parts) if any_]
-        if not rows or not self.langs:
-            return out
-        n = np.array([len(parts[i][0]) for i in rows])
-        blocks = -(-n // BLOCK)
-        owner = np.repeat(np.arange(len(rows)), blocks)
-        lanes = np.full((len(owner), BLOCK), self.k - 1, self.lut.dtype)
-        first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
-        for j, i in enumerate(rows):
-            s = parts[i][0]
-            lanes[first[j] : first[j] + blocks[j]].reshape(-1)[: len(s)] = s
-        steps = np.ascontiguousarray(lanes.T)
-        for lang, a in enumerate(self.automata):
-            phrases = self._phrases(a, steps)
-            out[rows, lang] = np.add.reduceat(phrases, first) * a.bits / n
-        return out
-
-    @staticmethod
-    def _phrases(a: Automaton, steps: np.ndarray) -> np.ndarray:
-        return a.phrases(steps)
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-        """Language, score and bits a symbol of each text."""
-        bits = self.bits([t or "" for t in texts])
-        langs, scores, least = [], [], []
-        for row in bits:
+        if rows and self.langs:
+            n = np.array([len(parts[i][0]) for i in rows])
+            steps, first = self._blocks([parts[i][0] for i in rows])
+            for lang, a in enumerate(self.automata):
+                phrases = a.phrases(steps, first)
+                out[0, rows, lang], out[1, rows, lang] = phrases * a.bits / n, (phrases - 1) * a.bits / n
+        return out[0], out[1]
+
+    def predict(self, texts: list[str | None], far_bits: float = FAR_BITS) -> tuple[list[str], list[float], list[bool]]:
+        """Language and score of each text, and whether that language is near."""
+        bits, after = self.bits([t or "" for t in texts])
+        langs, scores, near = [], [], []
+        for row, rest in zip(bits, after, strict=True):
             best = int(np.argmin(row)) if len(row) else -1
             if best < 0 or not np.isfinite(row[best]):
-                langs.append(UND), scores.append(0.0), least.append(float("inf"))
+                langs.append(UND), scores.append(0.0), near.append(False)
                 continue
             weight = np.exp2(-8 * (row - row[best]))
-            langs.append(self.langs[best]), scores.append(float(1 / weight.sum())), least.append(float(row[best]))
-        return langs, scores, least
+            langs.append(self.langs[best]), scores.append(float(1 / weight.sum()))
+            near.append(bool(rest[best] <= max(far_bits, self.far[best])))
+        return langs, scores, near
 
 
 def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 3 == 1
 
 
-def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, doc_chars: int = DOC_CHARS) -> Model:
-    """Learns from (doc_id, text, lang) rows with text and lang.
+def sampled(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, doc_chars: int = DOC_CHARS, max_languages: int = MAX_LANGUAGES) -> dict[str, list[str]]:
+    """Texts to learn from by language, of (doc_id, text, lang) rows with both.
 
     Documents are drawn by a hash of their id: so many of each language that
     its share of ``sample_chars`` is reached, each cut at ``doc_chars`` (of the
@@ -271,11 +298,9 @@ def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, doc_chars: int =
     """
     labelled = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
     stats = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.least(F.length("text"), F.lit(doc_chars))).alias("chars"))
-    found = {r["lang"]: r for r in stats.limit(MAX_LANGUAGES + 1).collect()}
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = {r["lang"]: r for r in stats.orderBy(F.desc("chars"), "lang").limit(max_languages).collect()}
     if not found:
-        return Model({})
+        return {}
     share = sample_chars // len(found)
     # twice the documents needed on average, and some: enough for all but odd draws, bounded in any case
     rate = {lang: min(1.0, (2.0 * share / max(1, r["chars"])) + 32 / r["n"]) for lang, r in found.items()}
@@ -292,13 +317,17 @@ def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, doc_chars: int =
         if left[r["lang"]] > 0:
             samples.setdefault(r["lang"], []).append(r["text"][: left[r["lang"]]])
             left[r["lang"]] -= len(r["text"])
-    return Model(samples)
+    return samples
+
+
+def fit(labelled: DataFrame, **bounds: int) -> Model:
+    return Model(sampled(labelled, **bounds))
 
 
-def _batch_predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-    out: tuple[list[str], list[float], list[float]] = ([], [], [])
+def _batch_predict(model: Model, texts: list[str | None], far_bits: float = FAR_BITS) -> tuple[list[str], list[float], list[bool]]:
+    out: tuple[list[str], list[float], list[bool]] = ([], [], [])
     for a, b in slices([len(t or "") for t in texts], SLICE):
-        for whole, part in zip(out, model.predict(texts[a:b]), strict=True):
+        for whole, part in zip(out, model.predict(texts[a:b], far_bits), strict=True):
             whole.extend(part)
     return out
 
@@ -325,16 +354,13 @@ def identified(docs: DataFrame) -> DataFrame:
 
 def in_known_language(docs: DataFrame, model: Model, text_col: str = "text", far_bits: float = FAR_BITS) -> DataFrame:
     """The rows, unchanged, whose text is in a learned language: it has letters
-    and, if long enough to tell, its best language takes at most ``far_bits``
-    bits a symbol."""
+    and, beyond its first phrase, takes at most ``far_bits`` bits a symbol in
+    its best language.  The same rule holds for texts of every length."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = batch.column(at).to_pylist()
-        langs, _, bits = _batch_predict(shipped.value, texts)
-        far = {lang: max(far_bits, f) for lang, f in zip(shipped.value.langs, shipped.value.far.tolist(), strict=True)}
-        near = [lang != UND and (b <= far[lang] or len(t) < FAR_CHARS) for lang, b, t in zip(langs, bits, texts, strict=True)]
+        near = _batch_predict(shipped.value, batch.column(at).to_pylist(), far_bits)[2]
         yield batch.filter(pa.array(near, pa.bool_()))
 
-    return map_batches(docs, fn, docs.schema)
+    return map_batches(docs, fn, docs.schema, at)
