@@ -1,18 +1,23 @@
 """Document fingerprints: a threshold-scaled sketch, in SQL functions only.
 
 Of all five-word shingle hashes (64 bits) every one below a fixed fraction of
-the range is retained, whatever the length of the text; where none is, the
-smallest one, so that only a text without words has an empty sketch.  Sketches of texts of
-very different lengths stay comparable; the sketch of a union is the union of
-the sketches.
+the range is retained, whatever the length of the text, and nothing else: so
+the sketch of a union is the union of the sketches, and the share of a text's
+retained hashes that another text retains estimates how much of it the other
+contains, however unequal they are.  Where a text retains none (short texts
+may), its containment is null: it can't be told.  The least of all hashes goes
+with the sketch; it stands for the text only where neither of two texts retains
+any, for their likeness and in the written fingerprint (after a ``~``).
 
 Words are runs of anything but white space (space, \\t to \\r), lower-cased; a
 text of one to four words has its whole sequence as one shingle.  A null text
-counts as empty.  Two empty sketches are alike (1.0), an empty and another are
-not (0.0).  Equal texts have equal fingerprints.
+counts as empty.  Two texts without words are alike (1.0), one of them and
+another are not (0.0).  Equal texts have equal fingerprints.
 
 "Next" is the next row by (doc_id, text), after the last the first; so a table
-of one row is its own next.  A null doc_id sorts first.
+of one row is its own next.  A null doc_id sorts first.  Repeated rows follow
+each other; an empty table gives no rows; other columns of any name are
+ignored; texts of any length are sketched whole.
 """
 
 from __future__ import annotations
@@ -26,14 +31,14 @@ from .shared import NULL_ID, id_text
 
 WORDS = 5
 #: One shingle in so many is retained.
-SCALE = 8
+SCALE = 4
 #: Buckets of consecutive ids for each shuffle partition.
 BUCKETS = 8
 
 
 def with_sketch(df: DataFrame, text: str, out: str, scale: int = SCALE) -> DataFrame:
-    """Adds ``out``, the sketch of column ``text``: sorted distinct array<bigint>."""
-    limit = _limit(scale)
+    """Adds ``out``, the sketch of column ``text``: struct<least: bigint, kept:
+    sorted distinct array<bigint>>; least is null without words."""
     w, s = f"__{out}_words", f"__{out}_shingles"
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda x: x != "")
     df = df.withColumn(w, words)
@@ -44,39 +49,35 @@ def with_sketch(df: DataFrame, text: str, out: str, scale: int = SCALE) -> DataF
         .when(n > 0, F.array(F.xxhash64(F.col(w))))
         .otherwise(F.array().cast("array<bigint>"))
     )
-    df = df.withColumn(s, shingles)
-    return df.withColumn(out, _retained(F.col(s), limit)).drop(w, s)
+    kept = F.sort_array(F.array_distinct(F.filter(s, lambda h: h < _limit(scale))))
+    return df.withColumn(s, shingles).withColumn(out, F.struct(F.array_min(s).alias("least"), kept.alias("kept"))).drop(w, s)
 
 
 def _limit(scale: int) -> int:
     return min(-(2**63) + 2**64 // scale, 2**63 - 1)
 
 
-def _retained(hashes: Column, limit: int) -> Column:
-    # the smallest stands outside the lambda, which is evaluated for each hash
-    kept = F.sort_array(F.array_distinct(F.filter(hashes, lambda h: h < limit)))
-    return F.when((F.size(kept) > 0) | (F.size(hashes) == 0), kept).otherwise(F.array(F.array_min(hashes)))
-
-
 def likeness(a: Column, b: Column) -> Column:
     """Estimated resemblance of the shingle sets."""
-    common = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - common
-    return F.when(union == 0, 1.0).otherwise(common / union)
+    common = F.size(F.array_intersect(a["kept"], b["kept"]))
+    union = F.size(a["kept"]) + F.size(b["kept"]) - common
+    return F.when(union > 0, common / union).otherwise(F.when(a["least"].eqNullSafe(b["least"]), 1.0).otherwise(0.0))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of ``a``'s shingles that ``b`` has."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """Estimated share of ``a``'s shingles that ``b`` has; null if ``a`` retains none."""
+    return F.try_divide(F.size(F.array_intersect(a["kept"], b["kept"])), F.size(a["kept"]))
 
 
-def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
+def merged(a: Column, b: Column) -> Column:
     """The sketch of the union of the shingle sets."""
-    return _retained(F.array_union(a, b), _limit(scale))
+    return F.struct(F.least(a["least"], b["least"]).alias("least"), F.sort_array(F.array_union(a["kept"], b["kept"])).alias("kept"))
 
 
 def as_text(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), ",")
+    hexed = lambda h: F.lpad(F.hex(h), 16, "0")
+    least = F.coalesce(F.concat(F.lit("~"), hexed(sketch["least"])), F.lit(""))
+    return F.when(F.size(sketch["kept"]) > 0, F.array_join(F.transform(sketch["kept"], hexed), ",")).otherwise(least)
 
 
 def _bucket(bounds: Column, n: int, key: Column) -> Column:
@@ -119,12 +120,13 @@ def with_next(df: DataFrame, columns: list[str], id_col: str = "doc_id", tie: st
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE) -> DataFrame:
-    """One row per input row: doc_id, fingerprint array<bigint>."""
+    """One row per input row: doc_id, fingerprint (a sketch)."""
     return with_sketch(id_text(docs, id_col, text_col), "text", "fingerprint", scale).drop("text")
 
 
 def fingerprint_digest(docs: DataFrame, scale: int = SCALE) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likeness."""
+    """Fingerprints of every text and of its edited text, their likeness, how
+    much of either the other contains, and how much the next text does."""
     df = id_text(docs).withColumn("text", F.coalesce(F.col("text"), F.lit("")))
     df = with_next(with_sketch(df, "text", "fp", scale), ["text", "fp"])
     n = F.length("text")
@@ -132,12 +134,17 @@ def fingerprint_digest(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - half), F.substr(F.col("next_text"), F.lit(1), half))
     df = df.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fp", "next_fp")
     df = with_sketch(df, "edited", "edited_fp", scale)
+    fp, edited_fp, next_fp = F.col("fp"), F.col("edited_fp"), F.col("next_fp")
     return df.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        as_text(F.col("fp")).alias("fingerprint"),
-        as_text(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        as_text(fp).alias("fingerprint"),
+        as_text(edited_fp).alias("edited_fingerprint"),
+        likeness(fp, edited_fp).alias("near_edited"),
+        likeness(fp, next_fp).alias("near_next"),
+        F.size("fp.kept").cast("long").alias("n_retained"),
+        containment(fp, edited_fp).alias("contained_in_edited"),
+        containment(edited_fp, fp).alias("edited_contained"),
+        containment(fp, next_fp).alias("contained_in_next"),
     )
