@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import id_text, map_batches, slices
+from .words import suffix_automaton
 
 UND = "und"
 #: Characters of labelled text learned from, in all; of one document at most;
@@ -78,7 +79,7 @@ class Automaton:
         self.local[own] = np.arange(len(own))
         self.local[k - 1] = len(own) + 1
         self.bits, self.k = math.log2(max(2, len(symbols))), len(own) + 2
-        nexts = [*self._states(self.local[symbols].tolist()), {}]
+        nexts = [*suffix_automaton(self.local[symbols].tolist())[0], {}]
         self.end = len(nexts) - 1
         self.root = np.full(self.k, self.end, np.int32)
         for c, s in nexts[0].items():
@@ -89,35 +90,6 @@ class Automaton:
         else:
             self._hash(nexts)
 
-    @staticmethod
-    def _states(symbols: list[int]) -> list[dict[int, int]]:
-        nexts: list[dict[int, int]] = [{}]
-        link, length, last = [-1], [0], 0
-        for c in symbols:
-            cur = len(nexts)
-            nexts.append({})
-            length.append(length[last] + 1)
-            link.append(0)
-            p = last
-            while p >= 0 and c not in nexts[p]:
-                nexts[p][c] = cur
-                p = link[p]
-            if p >= 0:
-                q = nexts[p][c]
-                if length[p] + 1 == length[q]:
-                    link[cur] = q
-                else:
-                    clone = len(nexts)
-                    nexts.append(dict(nexts[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    while p >= 0 and nexts[p].get(c) == q:
-                        nexts[p][c] = clone
-                        p = link[p]
-                    link[q] = link[cur] = clone
-            last = cur
-        return nexts
-
     def _bitmaps(self, nexts: list[dict[int, int]]) -> None:
         self.sets = np.array([sum(1 << c for c in out) for out in nexts], np.uint64)
         self.first = np.concatenate([[0], np.cumsum([len(out) for out in nexts])[:-1]]).astype(np.int32)

@@ -140,3 +140,36 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
         for k in range(n_eff):
             acc = mixed(acc * np.uint64(_BASE) + words[k : len(words) - n_eff + 1 + k])
     return np.unique(acc)
+
+
+def suffix_automaton(symbols: list[int]) -> tuple[list[dict[int, int]], list[int], list[int], list[int]]:
+    """By state: transitions, suffix link (-1 at the root), length of its
+    longest string, and where that first ends."""
+    nexts: list[dict[int, int]] = [{}]
+    link, length, first, last = [-1], [0], [-1], 0
+    for at, c in enumerate(symbols):
+        cur = len(nexts)
+        nexts.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        first.append(at)
+        p = last
+        while p >= 0 and c not in nexts[p]:
+            nexts[p][c] = cur
+            p = link[p]
+        if p >= 0:
+            q = nexts[p][c]
+            if length[p] + 1 == length[q]:
+                link[cur] = q
+            else:
+                clone = len(nexts)
+                nexts.append(dict(nexts[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                first.append(first[q])
+                while p >= 0 and nexts[p].get(c) == q:
+                    nexts[p][c] = clone
+                    p = link[p]
+                link[q] = link[cur] = clone
+        last = cur
+    return nexts, link, length, first
