@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
 
@@ -99,11 +98,40 @@ def mutated_seeds(seeds: Column, take_id: Column, attempt: Column) -> Column:
     return F.transform_values(base, fresh)
 
 
-def python_round(x: Column, digits: int) -> Column:
-    """Rounds the exact binary value half to even, as Python does."""
+def _scaled(x: Column, digits: int) -> tuple[Column, Column]:
+    """The whole number nearest ``x`` times a power of ten, halves to even, of
+    the exact binary value; and the power.  For |x| times it below 2**52.
 
-    @F.pandas_udf("double")
-    def rounded(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: round(v, digits) if not np.isnan(v) else v)
-
-    return rounded(x.cast("double"))
+    A product's rounding error is found by splitting its factors in halves, and
+    tells on which side of a half the exact product lies.
+    """
+    scale = float(10**digits)
+
+    def halves(v: Column) -> tuple[Column, Column]:
+        c = v * 134217729.0
+        high = c - (c - v)
+        return high, v - high
+
+    (a, b), (c, d) = halves(x), halves(F.lit(scale))
+    product = x * scale
+    error = ((a * c - product) + a * d + b * c) + b * d
+    whole = F.floor(product).cast("double")
+    past = (product - whole) - 0.5
+    even = whole % 2 == 0
+    up = (past > 0) | ((past == 0) & ((error > 0) | ((error == 0) & ~even)))
+    return F.when(up, whole + 1).otherwise(whole), F.lit(scale)
+
+
+def exact_round(x: Column, digits: int) -> Column:
+    """``x`` to so many decimals, rounded from its exact binary value, halves to even."""
+    whole, scale = _scaled(x.cast("double"), digits)
+    return whole / scale
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """``x`` with so many decimals, as C's ``%.<digits>f`` has it."""
+    whole, _ = _scaled(F.abs(x.cast("double")), digits)
+    text = F.lpad(whole.cast("long").cast("string"), F.greatest(F.length(whole.cast("long").cast("string")), F.lit(digits + 1)), F.lit("0"))
+    n = F.length(text) - digits
+    sign = F.when((x < 0), "-").otherwise("")
+    return F.concat(sign, F.substr(text, F.lit(1), n), F.lit("."), F.substr(text, n + 1, F.lit(digits)))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .kernels import exact_round, fixed
+
 # fixed values: clip extensions, compared in lower case
 VIDEO_EXTS = (".mp4", ".mov", ".webm", ".mkv", ".avi")
 # fixed values: how a kill reason of a rule, and a calibrated one, begins
@@ -58,8 +60,7 @@ def time_label(t: Column, t_end: Column | None = None) -> Column:
 
 
 def tenths(x: Column) -> Column:
-    """One decimal as C's %.1f has it (exact halves to even)."""
-    return F.format_string("%.1f", F.bround(x, 1))
+    return fixed(x, 1)
 
 
 def rule_reason(rule: Column, severity: Column, t: Column, t_end: Column, note: Column) -> Column:
@@ -99,6 +100,11 @@ def display_label(verdict: Column, n_defects: Column) -> Column:
     return F.when(verdict == "kill", "kill").when(n_defects > 0, "needs review").otherwise("passed")
 
 
+def untold(reasons: Column, rules: Column) -> Column:
+    """The reasons that no defect of these rules tells."""
+    return F.filter(reasons, lambda x: ~F.exists(rules, lambda r: x.startswith(r)))
+
+
 def slug(shot: Column) -> Column:
     s = F.regexp_replace(F.lower(shot), "[^a-z0-9]+", "-")
     return F.coalesce(null_if_blank(F.regexp_replace(s, "^-+|-+$", "")), F.lit("shot"))
@@ -116,13 +122,13 @@ def drawtext_escape(text: Column) -> Column:
 
 
 def usd(v: Column) -> Column:
-    return F.when(v >= 0.1, F.format_string("$%.2f", v)).otherwise(F.format_string("$%.3f", v))
+    return F.concat(F.lit("$"), F.when(v >= 0.1, fixed(v, 2)).otherwise(fixed(v, 3)))
 
 
 def frame_rate(ratio: Column) -> Column:
     """``30000/1001`` as frames a second, 3 decimals; null if undefined."""
     part = lambda i: F.try_element_at(F.split(ratio, "/"), F.lit(i))
-    return F.round(F.try_divide(part(1).try_cast("double"), F.coalesce(part(2).try_cast("double"), F.lit(1.0))), 3)
+    return exact_round(F.try_divide(part(1).try_cast("double"), F.coalesce(part(2).try_cast("double"), F.lit(1.0))), 3)
 
 
 def size_wh(text: Column) -> Column:
@@ -151,17 +157,15 @@ def utc_stamp(ts: Column | None = None) -> Column:
     return F.date_format(ts if ts is not None else F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def jpeg_data_url(jpeg: Column) -> Column:
-    return F.concat(F.lit("data:image/jpeg;base64,"), F.base64(jpeg))
-
-
 def numbered(asks: Column) -> Column:
     """The numbered question lines of a judge's message."""
     return F.array_join(F.transform(asks, lambda q, i: F.concat((i + 1).cast("string"), F.lit(". "), q)), "\n")
 
 
 def submit_id_ok(text: Column) -> Column:
-    return F.coalesce(F.trim(text).rlike(r"\A[^\n]+\z"), F.lit(False))
+    """One line, white space around it left out of account."""
+    line = F.regexp_replace(text, r"\A\s+|\s+\z", "")
+    return F.coalesce(line.rlike(r"\A[^\n]+\z"), F.lit(False))
 
 
 def poll_state(text: Column) -> Column:
@@ -174,15 +178,40 @@ def poll_state(text: Column) -> Column:
 
 
 def _reply(text: Column, key: str) -> Column:
-    """The elements of the list ``key`` of the outermost object in a reply."""
-    doc = F.try_parse_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1))
-    return F.try_variant_get(doc, f"$.{key}", "array<variant>")
+    """The elements of the list ``key`` of the outermost object in a reply.
+
+    What stands between the first and the last brace must be one whole
+    document: as the first of a list's elements, it leaves the second its place.
+    """
+    doc = F.try_parse_json(F.concat(F.lit("["), F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(", 7]")))
+    whole = F.try_variant_get(doc, "$[1]", "int") == 7
+    return F.when(whole, F.try_variant_get(doc, f"$[0].{key}", "array<variant>"))
 
 
 def _field(v: Column, name: str, kind: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", kind)
 
 
+def _whole(v: Column, name: str) -> Column:
+    """A field as a whole number: a number cut off, a text of digits, true as 1."""
+    raw = F.to_json(F.try_variant_get(v, f"$.{name}", "variant"))
+    digits = F.regexp_extract(raw, r'^"\s*([+-]?[0-9]+)\s*"$', 1).try_cast("int")
+    number = raw.try_cast("double")
+    return F.when(raw == "true", 1).when(raw == "false", 0).otherwise(F.coalesce(digits, F.when(F.abs(number) < 2**31, number.cast("int"))))
+
+
+def _seconds(v: Column, name: str) -> Column:
+    raw = F.to_json(F.try_variant_get(v, f"$.{name}", "variant"))
+    return exact_round(F.when(raw == "true", 1.0).when(raw == "false", 0.0).otherwise(_field(v, name, "double")), 3)
+
+
+def _said(v: Column, name: str) -> Column:
+    """A field as text; '' when it's missing."""
+    raw = F.to_json(F.try_variant_get(v, f"$.{name}", "variant"))
+    word = F.when(raw == "null", "None").when(raw == "true", "True").when(raw == "false", "False")
+    return F.coalesce(word, _field(v, name, "string"), raw, F.lit(""))
+
+
 def parse_answers(text: Column) -> Column:
     """array<struct<q,yes,t,note>> of a checklist reply; null if unparsable.
 
@@ -191,13 +220,11 @@ def parse_answers(text: Column) -> Column:
     """
 
     def one(v: Column) -> Column:
-        word = F.lower(F.trim(F.coalesce(_field(v, "yes", "string"), F.lit(""))))
-        q = F.coalesce(_field(v, "q", "int"), _field(v, "q", "double").cast("int"))
         return F.struct(
-            q.alias("q"),
-            word.isin("yes", "true", "1").alias("yes"),
-            F.round(_field(v, "t", "double"), 3).alias("t"),
-            F.substring(F.coalesce(_field(v, "note", "string"), F.lit("")), 1, NOTE_CHARS).alias("note"),
+            _whole(v, "q").alias("q"),
+            F.lower(F.trim(_said(v, "yes"))).isin("yes", "true", "1").alias("yes"),
+            _seconds(v, "t").alias("t"),
+            F.substring(_said(v, "note"), 1, NOTE_CHARS).alias("note"),
         )
 
     return F.filter(F.transform(_reply(text, "answers"), one), lambda a: a["q"].isNotNull())
@@ -211,12 +238,12 @@ def parse_defects(text: Column) -> Column:
     """array<struct<t,severity,note>> of a defect reply; null if unparsable."""
 
     def one(v: Column) -> Column:
-        sev = F.coalesce(_field(v, "severity", "int"), _field(v, "severity", "double").cast("int"))
+        severity = _whole(v, "severity")
         return F.struct(
-            F.round(_field(v, "t", "double"), 3).alias("t"),
-            clamp_severity(sev).alias("severity"),
-            sev.isNotNull().alias("ok"),
-            F.substring(F.coalesce(_field(v, "note", "string"), F.lit("")), 1, NOTE_CHARS).alias("note"),
+            _seconds(v, "t").alias("t"),
+            clamp_severity(severity).alias("severity"),
+            severity.isNotNull().alias("ok"),
+            F.substring(_said(v, "note"), 1, NOTE_CHARS).alias("note"),
         )
 
     made = F.filter(F.transform(_reply(text, "defects"), one), lambda d: d["ok"] & d["t"].isNotNull())

@@ -35,15 +35,25 @@ def cost_block(takes: DataFrame, usage: DataFrame, prices: DataFrame, clip_usd:
 
 
 def cost_summary(takes: DataFrame) -> DataFrame:
-    """Overall (shot null) and by shot: takes with a cost, total, usable, per
-    usable take (null if none).  Groups without a cost are left out."""
-    shot = F.coalesce("shot", F.lit("untagged"))
-    rows = takes.where("total_usd is not null").select(shot.alias("shot"), "total_usd", (F.col("verdict") != "kill").alias("usable"))
-    sums = rows.rollup("shot").agg(F.count(F.lit(1)).alias("takes"), F.sum("total_usd").alias("total_usd"), F.count_if("usable").alias("usable"))
-    return sums.withColumn("per_usable", F.try_divide("total_usd", "usable"))
+    """Overall (shot null) and by shot: takes with a cost, total, usable (all
+    takes that aren't killed), per usable take (null if none).  Groups without
+    a cost are left out."""
+    shot = F.coalesce(F.nullif("shot", F.lit("")), F.lit("untagged"))
+    usable = F.coalesce(F.col("verdict") != "kill", F.lit(True))
+    rows = takes.select(shot.alias("shot"), "total_usd", usable.alias("usable"))
+    sums = rows.rollup("shot").agg(F.count("total_usd").alias("takes"), F.sum("total_usd").alias("total_usd"), F.count_if("usable").alias("usable"))
+    return sums.where("takes > 0").withColumn("per_usable", F.try_divide("total_usd", "usable"))
+
+
+def cost_doc(takes: DataFrame) -> dict | None:
+    """The spend of a batch as published: in all, and by shot."""
+    rows = {r["shot"]: r for r in cost_summary(takes).collect()}  # a row a shot
+    rnd = lambda x: None if x is None else round(x, 4)
+    told = {shot: {"total_usd": rnd(r["total_usd"]), "usable_takes": r["usable"], "usd_per_usable": rnd(r["per_usable"])} for shot, r in rows.items()}
+    return told.pop(None) | {"shots": told} if told else None
 
 
 def cost_phrase(total: Column, per: Column) -> Column:
     from ..functions.text import usd
 
-    return F.concat(usd(total), F.lit(" spent"), F.coalesce(F.concat(F.lit(", "), usd(per), F.lit(" per usable take")), F.lit(", nothing usable")))
+    return F.concat(F.lit("spent "), usd(total), F.lit(": "), F.coalesce(F.concat(usd(per), F.lit(" per usable take")), F.lit("no usable takes")))

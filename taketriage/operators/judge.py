@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.kernels import exact_round
 from ..functions.text import clamp_severity, rule_reason
 
 # fixed values
@@ -54,7 +55,7 @@ def vote(answers: DataFrame, questions: DataFrame, samples: DataFrame, first_t:
         F.when(p >= 0.5, F.coalesce("first.t", first_t)).alias("t"),
         clamp_severity(F.coalesce("severity", F.lit(DEFAULT_SEVERITY))).alias("severity"),
         F.when(p >= 0.5, note).alias("note"),
-        F.when((p >= 0.5) & (F.col("n") > 1), F.bround(p, 2)).alias("confidence"),
+        F.when((p >= 0.5) & (F.col("n") > 1), exact_round(p, 2)).alias("confidence"),
     )
 
 
@@ -125,6 +126,11 @@ def escalation_set(uncertain: DataFrame, unparsed: DataFrame, rules: DataFrame)
     return uncertain.select("clip", "rule").union(unparsed.select("clip", "rule")).distinct().join(F.broadcast(rules.select("rule")), "rule", "left_semi").select("clip", "rule")
 
 
+def all_unsure(uncertain: DataFrame, subset: DataFrame) -> DataFrame:
+    """(clip, rule): the uncertain rules and all of a subset's, once each."""
+    return uncertain.select("clip", "rule").union(subset.select("clip", "rule")).distinct()
+
+
 def escalation_merge(defects: DataFrame, subset: DataFrame, strong: DataFrame) -> DataFrame:
     """The cheap judge's defects of other rules and the strong judge's, merged."""
     keep = defects.join(subset, ["clip", "rule"], "left_anti")
@@ -165,8 +171,9 @@ def rules_frame(spark: SparkSession, rules: dict | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "rule string, fail_at int, needs string")
 
 
-def usage_rollup(calls: DataFrame) -> DataFrame:
-    """Totals of each clip and engine, and of all its engines (engine null)."""
+def usage_rollup(calls: DataFrame, *by: str) -> DataFrame:
+    """Totals of each clip and engine, and of all its engines (engine null);
+    with ``by`` ("rule") also of each of those, under an engine."""
     sums = [F.sum(c).alias(c) for c in ("calls", "prompt_tokens", "completion_tokens")]
-    grouped = calls.rollup("clip", "engine").agg(*sums, F.grouping("clip").alias("g"))
+    grouped = calls.rollup("clip", "engine", *by).agg(*sums, F.grouping("clip").alias("g"))
     return grouped.where("g = 0").drop("g")

@@ -56,7 +56,7 @@ def submit_gate(candidates: DataFrame, takes: DataFrame, shots: DataFrame, chain
     df = (
         candidates.select("clip")
         .join(takes.select("clip", "shot", F.lit(True).alias("found")), "clip", "left")
-        .join(F.broadcast(shots.select("shot", "status", "passing", "want", "blocked_by", "mechanical_kills", F.col("takes").alias("n"))), "shot", "left")
+        .join(shots.select("shot", "status", "passing", "want", "blocked_by", "mechanical_kills", F.col("takes").alias("n")), "shot", "left")
         .join(chains, "clip", "left")
         .crossJoin(F.broadcast(run))
     )
@@ -71,7 +71,7 @@ def submit_gate(candidates: DataFrame, takes: DataFrame, shots: DataFrame, chain
     rules += [
         (F.col("found").isNull(), say(F.lit("parent "), s("clip"), F.lit(" not in the scanned takes"))),
         (F.col("status") == "complete", say(shot, F.lit(" complete: "), s("passing"), F.lit(" passing of "), s("want"), F.lit(" wanted"))),
-        (F.col("status") == "blocked", say(shot, F.lit(" blocked: "), F.col("blocked_by"), F.lit(" kills under distinct seeds"))),
+        (F.col("status") == "blocked", say(shot, F.lit(" blocked: "), F.col("blocked_by"), F.lit(" kills under distinct seeds; needs a human, not a reseed"))),
         (F.col("status") == "doomed", say(shot, F.lit(" doomed: "), s("mechanical_kills"), F.lit(" mechanical kills in "), s("n"), F.lit(" takes"))),
         (F.col("length") >= lineage_cap, say(F.lit(f"lineage cap {lineage_cap} reached for the chain ending at "), s("clip"))),
     ]
@@ -97,7 +97,8 @@ def job_keys(jobs: DataFrame) -> DataFrame:
 def adopt(stubs: DataFrame, jobs: DataFrame) -> DataFrame:
     """Rows for stubs whose job the table never recorded, one for each job."""
     new = stubs.where("job is not null").join(jobs.select("job").distinct(), "job", "left_anti")
-    return new.groupBy("job").agg(F.min_by(F.struct("clip", "parent", "shot"), "clip").alias("s")).select("job", "s.*", F.lit("queued").alias("state"))
+    facts = [c for c in stubs.columns if c != "job"]
+    return new.groupBy("job").agg(F.min_by(F.struct(*facts), "clip").alias("s")).select("job", "s.*", F.lit("queued").alias("state"))
 
 
 def reconcile(jobs: DataFrame, landed: DataFrame, polled: DataFrame) -> DataFrame:
@@ -139,28 +140,6 @@ def failure_streaks(jobs: DataFrame, block: int = FAIL_BLOCK) -> DataFrame:
     return df.withColumn("blocked", F.col("streak") >= block)
 
 
-def recorded(jobs: DataFrame, submits: DataFrame) -> DataFrame:
-    """The job table with new submissions as queued rows."""
-    new = submits.withColumn("state", F.lit("queued"))
-    return jobs.unionByName(new, allowMissingColumns=True)
-
-
-def resolved(jobs: DataFrame, observed: DataFrame) -> DataFrame:
-    """The job table with observed states (key, state); those that end a job
-    get a stamp."""
-    seen = observed.select("key", F.col("state").alias("seen"))
-    state = F.coalesce("seen", "state")
-    stamp = F.when(F.col("seen").isin(*TERMINAL), F.current_timestamp())
-    before = F.col("resolved") if "resolved" in jobs.columns else F.lit(None).cast("timestamp")
-    return jobs.join(seen, "key", "left").withColumns({"state": state, "resolved": F.coalesce(before, stamp)}).drop("seen")
-
-
-def submit_batch(gated: DataFrame, room: int) -> DataFrame:
-    """The first candidates (by clip) that the gate passes, as many as the rate
-    leaves room for; each submission changes the facts, so the rest wait."""
-    return gated.where("ok").orderBy("clip").limit(room)
-
-
 def settled(before: DataFrame, now: DataFrame, settle: float, at: float) -> DataFrame:
     """Clips (clip, size, mtime in seconds) unchanged since the poll before,
     and for ``settle`` seconds."""

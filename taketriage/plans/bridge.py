@@ -66,6 +66,8 @@ TEMPLATES = {
       SELECT conv_id AS clip, CAST(turn AS BIGINT) AS turn,
         CASE WHEN (conv_id + turn) % 11 = 0 THEN concat(coalesce(text, ''), ' no reply')
              WHEN (conv_id + turn) % 13 = 0 THEN '{"answers": [broken'
+             WHEN (conv_id + turn) % 7 = 0 THEN '{"answers": [{"q": 1, "yes": true, "t": 1}], "defects": [{"t": 1, "severity": 2}]} and {more}'
+             WHEN (conv_id + turn) % 17 = 0 THEN '{"answers": [{"q": 2.75, "yes": 1, "t": "0.0625", "note": null}, {"q": "4"}, {"q": "2.5"}], "defects": [{"t": "1.5", "severity": 2.75, "note": 7}]}'
         ELSE concat('```json {"answers": [{"q": ', CAST(turn + 1 AS ~S), ', "yes": ', CASE WHEN conv_id % 3 = 0 THEN 'true' WHEN conv_id % 3 = 1 THEN '"Yes"' ELSE '"no"' END,
              ', "t": ', CASE WHEN conv_id % 4 = 0 THEN 'null' ELSE CAST(conv_id % 64 / CAST(8 AS DOUBLE) AS ~S) END,
              ', "note": "n', CAST(conv_id AS ~S), '"}, {"q": "x", "yes": true}], "defects": [{"t": ', CAST(turn / CAST(4 AS DOUBLE) AS ~S),
@@ -86,7 +88,7 @@ TEMPLATES = {
       UNION ALL
       SELECT d.clip, concat(d.rule, ' severity ', CAST(d.severity AS ~S), ' at ', CAST(d.t AS ~S), 's: ', d.note) AS reason
       FROM fx_defects d JOIN fx_takes k ON k.clip = d.clip JOIN fx_rules r ON r.rule = d.rule
-      WHERE NOT k.mech_kill AND d.severity >= r.fail_at AND (d.confidence IS NULL OR d.confidence >= 0.67) AND d.pos = 1""",
+      WHERE NOT k.mech_kill AND d.severity >= r.fail_at AND (d.confidence IS NULL OR d.confidence >= 0.67)""",
     "fx_reviews": """
       SELECT t.clip, t.take_id, t.shot, t.parent, t.seed3, t.duration, t.file, t.prompt_text, t.landed, t.mech_kill, NOT t.mech_kill AS judged,
         CASE WHEN t.stub THEN NULL WHEN k.clip IS NOT NULL THEN 'kill' ELSE 'review' END AS verdict

@@ -53,41 +53,49 @@ def shot_tagging(spark, sf_dir):
     return df.select("event_id", "path", text.shot_for(F.col("shot"), path).alias("shot"), text.basename(path).alias("file"))
 
 
-@query("fx_replies", """+ p AS (SELECT clip, turn, TRY_CAST(nullif(regexp_extract(reply, '(\\{.*\\})', 1, 's'), '') AS JSON) AS j FROM fx_replies),
+_REPLIES = """+ p AS (SELECT clip, turn, CASE WHEN json_valid(regexp_extract(reply, '(\\{.*\\})', 1, 's')) THEN regexp_extract(reply, '(\\{.*\\})', 1, 's')::JSON END AS j FROM fx_replies)"""
+
+
+def _int(field: str) -> str:
+    """A JSON field as a whole number: a number cut off, a text of digits."""
+    v = f"json_extract(v, '$.{field}')"
+    return f"""CASE json_type({v}) WHEN 'VARCHAR' THEN CASE WHEN regexp_full_match({v} ->> '$', '[+-]?[0-9]+') THEN CAST({v} ->> '$' AS INT) END ELSE CAST(trunc(TRY_CAST({v} ->> '$' AS DOUBLE)) AS INT) END"""
+
+
+_T = "CAST(printf('%.3f', TRY_CAST(json_extract_string(v, '$.t') AS DOUBLE)) AS DOUBLE)"
+_NOTE = "substr(CASE json_type(json_extract(v, '$.note')) WHEN 'NULL' THEN 'None' ELSE coalesce(json_extract_string(v, '$.note'), '') END, 1, 300)"
+
+
+@query("fx_replies", _REPLIES + f""",
   a AS (SELECT clip, turn, unnest(CAST(json_extract(j, '$.answers[*]') AS JSON[])) AS v FROM p WHERE j IS NOT NULL)
-  SELECT clip, turn, TRY_CAST(json_extract_string(v, '$.q') AS INT) AS q,
-    lower(trim(coalesce(json_extract_string(v, '$.yes'), ''))) IN ('yes', 'true', '1') AS yes,
-    round(TRY_CAST(json_extract_string(v, '$.t') AS DOUBLE), 3) AS t, substr(coalesce(json_extract_string(v, '$.note'), ''), 1, 300) AS note
-  FROM a WHERE TRY_CAST(json_extract_string(v, '$.q') AS INT) IS NOT NULL""")
+  SELECT clip, turn, {_int('q')} AS q, lower(trim(coalesce(json_extract_string(v, '$.yes'), ''))) IN ('yes', 'true', '1') AS yes, {_T} AS t, {_NOTE} AS note FROM a WHERE {_int('q')} IS NOT NULL""")
 def parse_answers(replies):
     return replies.select("clip", "turn", F.inline(text.parse_answers(F.col("reply"))))
 
 
-@query("fx_replies", """+ p AS (SELECT clip, turn, TRY_CAST(nullif(regexp_extract(reply, '(\\{.*\\})', 1, 's'), '') AS JSON) AS j FROM fx_replies),
+@query("fx_replies", _REPLIES + f""",
   a AS (SELECT clip, turn, unnest(CAST(json_extract(j, '$.defects[*]') AS JSON[])) AS v FROM p WHERE j IS NOT NULL)
-  SELECT clip, turn, round(TRY_CAST(json_extract_string(v, '$.t') AS DOUBLE), 3) AS t,
-    greatest(1, least(5, TRY_CAST(json_extract_string(v, '$.severity') AS INT))) AS severity, coalesce(json_extract_string(v, '$.note'), '') AS note
-  FROM a WHERE TRY_CAST(json_extract_string(v, '$.t') AS DOUBLE) IS NOT NULL AND TRY_CAST(json_extract_string(v, '$.severity') AS INT) IS NOT NULL""")
+  SELECT clip, turn, {_T} AS t, greatest(1, least(5, {_int('severity')})) AS severity, {_NOTE} AS note FROM a WHERE {_T} IS NOT NULL AND {_int('severity')} IS NOT NULL""")
 def parse_defects(replies):
     return replies.select("clip", "turn", F.inline(text.parse_defects(F.col("reply"))))
 
 
 # ---- mechanical stage
 
-_TOTALS = """t AS (SELECT k.clip, k.duration,
+_TOTALS = """k AS (SELECT clip, duration + clip % 20 / 20.0::DOUBLE AS duration FROM fx_takes), t AS (SELECT k.clip, k.duration,
     coalesce(sum(CASE WHEN s.kind = 'black' THEN s.e - s.s END), 0.0) AS black_s,
     coalesce(sum(CASE WHEN s.kind = 'freeze' THEN coalesce(s.e, k.duration) - s.s END), 0.0) AS freeze_s
-  FROM fx_takes k LEFT JOIN fx_spans s ON s.clip = k.clip GROUP BY 1, 2)"""
+  FROM k LEFT JOIN fx_spans s ON s.clip = k.clip GROUP BY 1, 2)"""
 
 
 @query("fx_takes fx_spans", f"""+ {_TOTALS}
-  SELECT clip, black_s, freeze_s, concat_ws('; ', CASE WHEN black_s / duration > 0.5 THEN printf('black for %.1fs of %.1fs', black_s, duration) END,
+  SELECT clip, black_s, round(freeze_s, 6) AS freeze_s, concat_ws('; ', CASE WHEN black_s / duration > 0.5 THEN printf('black for %.1fs of %.1fs', black_s, duration) END,
     CASE WHEN freeze_s / duration > 0.5 THEN printf('frozen for %.1fs of %.1fs', freeze_s, duration) END) AS reasons,
     black_s / duration > 0.5 OR freeze_s / duration > 0.5 AS killed FROM t""")
 def mechanical_kill(takes, spans):
-    takes = takes.select("clip", "duration", F.lit(None).cast("array<string>").alias("errors"))
+    takes = takes.select("clip", (F.col("duration") + F.col("clip") % 20 / F.lit(20.0)).alias("duration"), F.lit(None).cast("array<string>").alias("errors"))
     df = signals.mechanical_kills(takes, spans)
-    return df.select("clip", "black_s", "freeze_s", F.array_join("reasons", "; ").alias("reasons"), "killed")
+    return df.select("clip", "black_s", F.round("freeze_s", 6).alias("freeze_s"), F.array_join("reasons", "; ").alias("reasons"), "killed")
 
 
 @query("fx_spans", """+ f AS (SELECT * FROM fx_spans WHERE kind = 'freeze'),
@@ -146,7 +154,7 @@ def vote_aggregate(answers):
     return _votes(answers)
 
 
-@query("fx_answers fx_rules", _VOTE.replace("+ n AS", "+ n AS", 1) + """
+@query("fx_answers fx_rules", _VOTE + """
   , u AS (SELECT DISTINCT clip, rule FROM v WHERE p > 0 AND p < 1), x AS (SELECT DISTINCT clip, rule FROM fx_answers WHERE pos % 17 = 0)
   SELECT clip, rule FROM (SELECT * FROM u UNION SELECT * FROM x) WHERE rule IN ('click', 'purchase', 'view')""")
 def escalation_set(answers, rules):
@@ -440,9 +448,9 @@ def cost_block(takes, usage, prices):
 _SPEND = "CASE WHEN clip % 9 = 0 THEN NULL ELSE clip % 32 / 16.0::DOUBLE END"
 
 
-@query("fx_reviews", f"""+ r AS (SELECT coalesce(shot, 'untagged') AS shot, {_SPEND} AS usd, verdict <> 'kill' AS u FROM fx_reviews WHERE clip % 9 <> 0)
-  SELECT shot, count(*) AS takes, sum(usd) AS total_usd, count(*) FILTER (u) AS usable, sum(usd) / nullif(count(*) FILTER (u), 0) AS per_usable FROM r GROUP BY 1
-  UNION ALL SELECT NULL, count(*), sum(usd), count(*) FILTER (u), sum(usd) / nullif(count(*) FILTER (u), 0) FROM r""")
+@query("fx_reviews", f"""+ r AS (SELECT coalesce(shot, 'untagged') AS shot, {_SPEND} AS usd, coalesce(verdict <> 'kill', true) AS u FROM fx_reviews)
+  SELECT shot, count(usd) AS takes, sum(usd) AS total_usd, count(*) FILTER (u) AS usable, sum(usd) / nullif(count(*) FILTER (u), 0) AS per_usable FROM r GROUP BY 1 HAVING count(usd) > 0
+  UNION ALL SELECT NULL, count(usd), sum(usd), count(*) FILTER (u), sum(usd) / nullif(count(*) FILTER (u), 0) FROM r""")
 def cost_summary(takes):
     return cost.cost_summary(takes.withColumn("total_usd", F.when(F.col("clip") % 9 != 0, F.col("clip") % 32 / 16.0)))
 
@@ -480,7 +488,7 @@ _LEDGER = f"""{_RANK}, {_DOOM}, {_FUTILE},
   j AS (SELECT shot, count(*) AS attempts FROM fx_jobs GROUP BY 1),
   s AS (SELECT coalesce(a.shot, j.shot) AS shot, coalesce(w.want, 90) AS want, coalesce(a.takes, 0) AS takes, coalesce(passing, 0) AS passing, coalesce(mechanical_kills, 0) AS mechanical_kills,
     coalesce(attempts, 0) AS attempts, coalesce(spend, 0.0) AS spend_usd,
-    CASE WHEN coalesce(passing, 0) >= coalesce(w.want, 90) THEN 'complete' WHEN fu.rule IS NOT NULL AND coalesce(a.shot, j.shot) < 'shot-5' THEN 'blocked' WHEN coalesce(p >= 0.9, false) THEN 'doomed' ELSE 'active' END AS status, fu.rule
+    CASE WHEN coalesce(passing, 0) >= coalesce(w.want, 90) THEN 'complete' WHEN fu.rule IS NOT NULL THEN 'blocked' WHEN coalesce(p >= 0.9, false) THEN 'doomed' ELSE 'active' END AS status, fu.rule
     FROM a FULL JOIN j ON j.shot = a.shot LEFT JOIN fx_want w ON w.shot = coalesce(a.shot, j.shot) LEFT JOIN fu ON fu.shot = coalesce(a.shot, j.shot)
     LEFT JOIN br ON br.shot = coalesce(a.shot, j.shot) LEFT JOIN bp ON bp.shot = coalesce(a.shot, j.shot))"""
 
@@ -488,7 +496,7 @@ _LEDGER = f"""{_RANK}, {_DOOM}, {_FUTILE},
 def _refreshed(takes, defects, spans, reasons, jobs, want):
     takes = takes.withColumn("total_usd", F.when(F.col("clip") % 9 != 0, F.col("clip") % 32 / 16.0))
     states = breaker.breaker_states(_ranked(takes, defects, spans))
-    return ledger.refresh(takes, jobs, want, _futile(takes, reasons).where("shot < 'shot-5'"), states, want_default=90)
+    return ledger.refresh(takes, jobs, want, _futile(takes, reasons), states, want_default=90)
 
 
 @query("fx_reviews fx_defects fx_spans fx_reasons fx_jobs fx_want", f"+ {_LEDGER} SELECT shot, want, takes, passing, mechanical_kills, attempts, spend_usd, status, CASE WHEN status = 'blocked' THEN rule END AS blocked_by FROM s")
@@ -499,7 +507,7 @@ def ledger_refresh(takes, defects, spans, reasons, jobs, want):
 @query("fx_reviews fx_defects fx_spans fx_reasons fx_jobs fx_want", f"""+ {_LEDGER}, {_UP}, ch AS (SELECT clip, 1 + max(depth) AS length FROM up GROUP BY 1)
   SELECT c.clip, why IS NULL AS ok, why FROM (SELECT c.clip, CASE WHEN t.clip IS NULL THEN concat('parent ', c.clip, ' not in the scanned takes')
     WHEN s.status = 'complete' THEN concat('shot ', s.shot, ' complete: ', s.passing, ' passing of ', s.want, ' wanted')
-    WHEN s.status = 'blocked' THEN concat('shot ', s.shot, ' blocked: ', s.rule, ' kills under distinct seeds')
+    WHEN s.status = 'blocked' THEN concat('shot ', s.shot, ' blocked: ', s.rule, ' kills under distinct seeds; needs a human, not a reseed')
     WHEN s.status = 'doomed' THEN concat('shot ', s.shot, ' doomed: ', s.mechanical_kills, ' mechanical kills in ', s.takes, ' takes')
     WHEN coalesce(ch.length, 1) >= 4 THEN concat('lineage cap 4 reached for the chain ending at ', c.clip) END AS why
   FROM (SELECT clip FROM fx_jobs) c LEFT JOIN fx_reviews t ON t.clip = c.clip LEFT JOIN s ON s.shot = t.shot LEFT JOIN ch ON ch.clip = c.clip) c""")
@@ -546,19 +554,28 @@ def failure_streak(jobs):
     return ledger.failure_streaks(jobs).select("job_seq", "shot", "state", "streak", "blocked")
 
 
-@query("fx_reviews")
+# the fresh seeds are free, what holds of them isn't: the same names, other values, 32 bits
+@query("fx_reviews", "SELECT clip, CASE WHEN seed3 IS NULL THEN 'seed' ELSE '3' END AS names, true AS fresh, true AS fits, true AS replays FROM fx_reviews")
 def seed_mutation(takes):
     seeds = F.when(F.col("seed3").isNotNull(), F.create_map(F.lit("3"), F.col("seed3").cast("long")))
-    return takes.select("clip", F.to_json(kernels.mutated_seeds(seeds, F.col("take_id"), F.lit(1))).alias("seeds"))
-
-
-# one file is one batch of the stream, so it ends as the batch form does
-@query(sql="""WITH r AS (SELECT concat('shot-', user_id % 100) AS shot, user_id % 9 = 0 OR event_id % 4 = 0 AS m FROM events),
-  b AS (SELECT shot, count(*) AS takes, count(*) FILTER (m) AS mechanical_kills FROM r GROUP BY 1),
-  p AS (SELECT shot, takes, mechanical_kills, least(1.0, sum(exp(lgamma(takes + 2) - lgamma(j + 1) - lgamma(takes + 2 - j) + j * ln(0.75) + (takes + 1 - j) * ln(0.25)))) AS p
-    FROM (SELECT *, unnest(generate_series(0, mechanical_kills)) AS j FROM b) GROUP BY 1, 2, 3)
-  SELECT shot, takes, mechanical_kills, round(p, 6) AS doom_probability FROM p WHERE p >= 0.9""")
+    df = takes.select("clip", "seed3", kernels.mutated_seeds(seeds, F.col("take_id"), F.lit(1)).alias("a"), kernels.mutated_seeds(seeds, F.col("take_id"), F.lit(1)).alias("b"))
+    value = F.map_values("a")[0]
+    fresh = F.coalesce(value != F.col("seed3"), F.lit(True))
+    return df.select("clip", F.array_join(F.map_keys("a"), ",").alias("names"), fresh.alias("fresh"), value.between(0, 2**32 - 1).alias("fits"), (value == F.map_values("b")[0]).alias("replays"))
+
+
+# batches of the replay are a quarter each; a shot is told by the first batch that shows it
+@query(sql="""WITH RECURSIVE r AS (SELECT concat('shot-', user_id % 100) AS shot, event_id % 4 AS part, user_id % 9 = 0 OR event_id % 4 = 0 AS m FROM events),
+  s AS (SELECT DISTINCT r.shot, p.part FROM r JOIN (SELECT DISTINCT part FROM r) p ON p.part IN (SELECT part FROM r x WHERE x.shot = r.shot)),
+  b AS (SELECT s.shot, s.part, count(*) AS takes, count(*) FILTER (r.m) AS mechanical_kills FROM s JOIN r ON r.shot = s.shot AND r.part <= s.part GROUP BY 1, 2),
+  p AS (SELECT shot, part, takes, mechanical_kills, least(1.0, sum(exp(lgamma(takes + 2) - lgamma(j + 1) - lgamma(takes + 2 - j) + j * ln(0.75) + (takes + 1 - j) * ln(0.25)))) AS p
+    FROM (SELECT *, unnest(generate_series(0, mechanical_kills)) AS j FROM b) GROUP BY 1, 2, 3, 4),
+  f AS (SELECT *, row_number() OVER (PARTITION BY shot ORDER BY part) AS n FROM p WHERE p >= 0.9)
+  SELECT shot, takes, mechanical_kills, round(p, 6) AS doom_probability FROM f WHERE n = 1""")
 def doomed_stream(spark, sf_dir):
     from ..streaming.watch import doomed_from_files
 
     return doomed_from_files(spark, sf_dir).withColumn("doom_probability", F.round("doom_probability", 6))
+
+
+from . import catalogue_text  # noqa: E402, F401  (registers more)

@@ -1,74 +1,197 @@
-"""Report and dossier: rendered on the driver from rows already aggregated."""
+"""Report and dossier, rendered from plans.
+
+Cards are text columns, made where the rows are; the page is written a row at a
+time in its order.  Only what a page holds once (totals, shots) is collected.
+"""
 
 from __future__ import annotations
 
 import html
-from collections import defaultdict
+import os
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .functions.text import display_label, family, slug
+from .functions.kernels import fixed
+from .functions.text import display_label, family, file_name, html_escape, slug, time_label, untold, usd
 from .operators import breaker, brief, cost
 from .operators.cost import cost_phrase
 
-_STYLE = "body{font:14px sans-serif;margin:2em}.card{border:1px solid #bbb;padding:.6em;margin:.4em 0}.kill{border-color:#c33}.bar{position:relative;height:1em;background:#eee}.dot{position:absolute;width:6px;height:6px;background:#c33}"
-_NEAR = 1.8
-
-
-def rows_of_dots(times: list[float], duration: float | None) -> list[tuple[float, int]]:
-    """(percent, row) of timeline dots; one that would overlap goes a row down."""
-    last: list[float] = []
-    out = []
-    for t in sorted(times):
-        at = 100.0 * min(t, duration) / duration if duration else 0.0
-        row = next((i for i, x in enumerate(last) if at - x >= _NEAR), len(last))
-        if row == len(last):
-            last.append(at)
-        last[row] = at
-        out.append((at, row))
-    return out
-
-
-def cards(takes: DataFrame, defects: DataFrame, reasons: DataFrame) -> DataFrame:
-    """One row a take: label, its defects and the reasons no defect tells."""
-    d = defects.groupBy("clip").agg(F.sort_array(F.collect_list(F.struct("t", "rule", "severity", "note", family(F.col("rule")).alias("family")))).alias("defects"))
-    r = reasons.groupBy("clip").agg(F.sort_array(F.collect_list("reason")).alias("reasons"))
-    df = takes.join(d, "clip", "left").join(r, "clip", "left")
-    rules = F.transform(F.coalesce("defects", F.array()), lambda x: x["rule"])
-    other = F.filter(F.coalesce("reasons", F.array()), lambda x: ~F.exists(rules, lambda y: x.startswith(y)))
-    shot = F.coalesce("shot", F.lit(brief.UNTAGGED))
-    return df.select(
-        shot.alias("shot"), slug(shot).alias("slug"), "clip", "file", "verdict", "rank_in_shot", "duration", "total_usd",
-        F.coalesce("defects", F.array()).alias("defects"), other.alias("other"), display_label(F.col("verdict"), F.size(F.coalesce("defects", F.array()))).alias("label"),
+_STYLE = (
+    "body{font:14px sans-serif;margin:2em}.card{border:1px solid #bbb;padding:.6em;margin:.4em 0}.kill{border-color:#c33}.pending{border-style:dashed}.doomed{color:#c33}"
+    ".bar{position:relative;background:#eee}.bar i{position:absolute}.span,.cut{top:0;height:100%}.black{background:#000}.freeze{background:#8bd}.cut{width:2px;background:#f80}"
+    ".dot{min-width:6px;height:6px;background:#c33;border-radius:6px}video{max-width:320px}"
+)
+# fixed values: dots nearer than this many percent don't share a row; height of a row
+NEAR, ROW = 1.8, 14
+UNRANKED = 10**6
+
+
+def percent(t: Column, duration: Column) -> Column:
+    """Where a time lies on the timeline; what is past the end lies at the end."""
+    return 100 * F.least(t, duration) / duration
+
+
+def dot_rows(places: Column) -> Column:
+    """Row of each of the ascending places of a timeline: the first row whose
+    last dot isn't near."""
+
+    def step(acc: Column, at: Column) -> Column:
+        free = F.array_position(F.transform(acc["last"], lambda x: at - x >= NEAR), True).cast("int")
+        row = F.when(free > 0, free).otherwise(F.size(acc["last"]) + 1)
+        last = F.when(free > 0, F.transform(acc["last"], lambda x, i: F.when(i + 1 == row, at).otherwise(x))).otherwise(F.concat(acc["last"], F.array(at)))
+        return F.struct(last.alias("last"), F.concat(acc["rows"], F.array(row - 1)).alias("rows"))
+
+    start = F.struct(F.array().cast("array<double>").alias("last"), F.array().cast("array<int>").alias("rows"))
+    return F.aggregate(places, start, step)["rows"]
+
+
+def _or_none(c: str, kind: str) -> Column:
+    return F.coalesce(F.col(c), F.array().cast(kind))
+
+
+def _bar(kind: str, start: Column, end: Column, duration: Column) -> Column:
+    return F.concat(F.lit(f"<i class='span {kind}' style='left:"), fixed(100 * start / duration, 1), F.lit("%;width:"), fixed(100 * (end - start) / duration, 1), F.lit("%'></i>"))
+
+
+def timeline(duration: Column) -> Column:
+    """Spans, cuts and dots of a take's columns black, freeze, cuts, defects
+    (ascending) and rows; '' without a duration."""
+    black = F.transform("black", lambda s: _bar("black", s["start"], s["end"], duration))
+    freeze = F.transform("freeze", lambda s: _bar("freeze", s["start"], F.coalesce(s["end"], duration), duration))
+    cuts = F.transform("cuts", lambda t: F.concat(F.lit("<i class=cut style='left:"), fixed(100 * t / duration, 1), F.lit("%'></i>")))
+
+    def dot(d: Column, i: Column) -> Column:
+        at, end = percent(d["t"], duration), percent(F.coalesce(F.nullif(d["t_end"], F.lit(0.0)), d["t"]), duration)
+        width = F.when(end > at, F.concat(F.lit(";width:"), fixed(end - at, 1), F.lit("%"))).otherwise("")
+        told = html_escape(F.concat(time_label(d["t"], d["t_end"]), F.lit(" "), _told(d)))
+        kind = html_escape(family(d["rule"]))
+        return F.concat(
+            F.lit("<i class='dot "), kind, F.lit("' style='left:"), fixed(at, 1), F.lit("%;top:"), (2 + F.get("rows", i) * ROW).cast("string"), F.lit("px"), width,
+            F.lit("' data-t='"), d["t"].cast("string"), F.lit("' title='"), told, F.lit("'></i>"),
+        )
+
+    height = (16 + F.coalesce(F.array_max("rows"), F.lit(0)) * ROW).cast("string")
+    marks = F.array_join(F.concat(black, freeze, cuts, F.transform("defects", dot)), "")
+    return F.when(duration > 0, F.concat(F.lit("<div class=bar style='height:"), height, F.lit("px'>"), marks, F.lit("</div>"))).otherwise("")
+
+
+def _told(d: Column) -> Column:
+    return F.concat(d["rule"], F.lit(" ("), d["severity"].cast("string"), F.lit("): "), F.coalesce(d["note"], F.lit("")))
+
+
+def details() -> Column:
+    """Reasons and defects, a section for each family."""
+    section = lambda name, lines: F.concat(F.lit("<b>"), html_escape(name), F.lit("</b><ul>"), F.array_join(lines, ""), F.lit("</ul>"))
+    other = untold(F.col("reasons"), F.transform("defects", lambda d: d["rule"]))
+    first = F.when(F.size(other) > 0, section(F.lit("mechanical"), F.transform(other, lambda x: F.concat(F.lit("<li>"), html_escape(x), F.lit("</li>"))))).otherwise("")
+    names = F.array_sort(F.array_distinct(F.transform("defects", lambda d: family(d["rule"]))))
+    line = lambda d: F.concat(F.lit("<li><a class=seek data-t='"), d["t"].cast("string"), F.lit("'>"), time_label(d["t"], d["t_end"]), F.lit("</a> "), html_escape(_told(d)), F.lit("</li>"))
+    return F.concat(first, F.array_join(F.transform(names, lambda n: section(n, F.transform(F.filter("defects", lambda d: family(d["rule"]) == n), line))), ""))
+
+
+def cards(docs: DataFrame, pending: DataFrame, posters: DataFrame, folder: str) -> DataFrame:
+    """(shot, place, clip, card): the card of each take as text, in the order of a page.
+
+    docs: typed takes; pending: clip of stubs without a clip; posters: clip of
+    takes with a still beside them; folder: paths are told from there.
+    """
+    m = "review.mechanical"
+    shot = F.coalesce(F.nullif("shot", F.lit("")), F.lit(brief.UNTAGGED))
+    spans, defect = "array<struct<start:double,end:double>>", "array<struct<t:double,t_end:double,rule:string,severity:int,confidence:double,note:string>>"
+    df = docs.join(pending.select("clip", F.lit(True).alias("pending")), "clip", "left").join(posters.select("clip", F.lit(True).alias("poster")), "clip", "left")
+    df = df.select(
+        "clip", shot.alias("shot"), F.coalesce("pending", F.lit(False)).alias("pending"), "poster", "regen", "output",
+        F.col("review.verdict").alias("verdict"), F.col("review.rank_in_shot").alias("rank"), F.col("review.cost.total_usd").alias("total_usd"),
+        F.col(f"{m}.probe.duration").alias("duration"), F.col(f"{m}.flicker_score").alias("flicker"), F.col(f"{m}.motion_smoothness").alias("smoothness"),
+        _or_none(f"{m}.black_frames", spans).alias("black"), _or_none(f"{m}.freeze", spans).alias("freeze"), _or_none(f"{m}.scene_cuts", "array<double>").alias("cuts"),
+        _or_none(f"{m}.kill_reasons", "array<string>").alias("reasons"), F.array_sort(_or_none("review.vlm.defects", defect)).alias("defects"),
     )
+    df = df.withColumn("rows", dot_rows(F.when(F.col("duration") > 0, F.transform("defects", lambda d: percent(d["t"], F.col("duration")))).otherwise(F.array().cast("array<double>"))))
+    name = html_escape(file_name(F.col("output.file"), F.col("clip")))
+    path = F.regexp_replace("clip", "^file:(//)?", "")
+    near = F.when(path.startswith(folder.rstrip("/") + "/"), F.substr(path, F.lit(len(folder.rstrip("/")) + 2))).otherwise(path)
+    still = F.when(F.col("poster"), F.concat(F.lit(" poster='"), html_escape(F.regexp_replace(near, r"\.[^./]*$", ".jpg")), F.lit("'"))).otherwise("")
+    stats = F.array_join(
+        F.array_compact(
+            F.array(
+                F.concat(F.col("output.width").cast("string"), F.lit("x"), F.col("output.height").cast("string")),
+                F.concat(F.col("output.frames").cast("string"), F.lit(" frames")),
+                F.concat(F.lit("flicker "), fixed(F.col("flicker"), 3)),
+                F.concat(F.lit("motion "), fixed(F.col("smoothness"), 3)),
+                F.when(F.size("cuts") > 0, F.concat(F.size("cuts").cast("string"), F.lit(" cuts"))),
+                F.when(F.size("defects") > 0, F.concat(F.size("defects").cast("string"), F.lit(" defects"))),
+                usd(F.col("total_usd")),
+            )
+        ),
+        " · ",
+    )
+    rank = F.when(F.col("rank") > 0, F.concat(F.lit("#"), F.col("rank").cast("string"), F.lit(" "))).otherwise("")
+    label = display_label(F.col("verdict"), F.size("defects"))
+    kind = F.when(F.col("verdict") == "kill", "card kill").otherwise("card")
+    card = F.concat(
+        F.lit("<div class='"), kind, F.lit("'><video src='"), html_escape(near), F.lit("'"), still, F.lit(" preload=metadata muted playsinline controls></video><p>"),
+        rank, name, F.lit(" <em>"), label, F.lit("</em> "), html_escape(stats), F.lit("</p>"), timeline(F.col("duration")), details(), F.lit("</div>"),
+    )
+    where = F.concat_ws(" · ", F.lit("regen not landed"), F.concat(F.lit("job "), F.col("regen.job")), F.concat(F.lit("submitted "), F.col("regen.submitted")))
+    stub = F.concat(F.lit("<div class='card pending'>"), name, F.lit(" <em>pending</em> "), html_escape(where), F.lit("</div>"))
+    place = F.struct("pending", F.coalesce(F.nullif("rank", F.lit(0)), F.lit(UNRANKED)).alias("rank"), "clip")
+    return df.select("shot", place.alias("place"), "clip", F.when(F.col("pending"), stub).otherwise(card).alias("card"))
+
 
+def report_totals(takes: DataFrame) -> DataFrame:
+    """One row: reviewed, killed, to_watch, pending, doomed (names).
 
-def html_report(takes: DataFrame, defects: DataFrame, reasons: DataFrame, pending: DataFrame | None = None) -> str:
-    """One static page; shots by name, cards by rank."""
-    sums = {r["shot"]: r for r in cost.cost_summary(takes).withColumn("phrase", cost_phrase(F.col("total_usd"), F.col("per_usable"))).collect()}
-    doomed = {r["shot"] for r in breaker.breaker_states(takes).where("doomed").collect()}
-    head = brief.review_summary(takes).first()
-    out = ["<!doctype html><meta charset=utf-8><title>Takes</title>", f"<style>{_STYLE}</style>", f"<p>{head['reviewed']} reviewed, {head['killed']} killed, {head['to_watch']} to watch"]
-    out.append(f", {html.escape(sums[None]['phrase'])}</p>" if None in sums else "</p>")
+    takes: all, with pending; a stub that hasn't landed isn't reviewed."""
+    landed = takes.where("not pending")
+    doomed = breaker.breaker_states(landed).where("doomed").agg(F.array_sort(F.collect_list("shot")).alias("doomed"))  # names of a page
+    killed = F.count_if(F.col("verdict") == "kill")
+    head = takes.agg(F.count_if(~F.col("pending")).alias("reviewed"), killed.alias("killed"), F.count_if("pending").alias("pending"))
+    return head.select("reviewed", "killed", (F.col("reviewed") - F.col("killed")).alias("to_watch"), "pending").crossJoin(F.broadcast(doomed))  # two rows
+
+
+def posters(docs: DataFrame, stills: DataFrame) -> DataFrame:
+    """clip of the takes that have a still of their name (stills: path)."""
+    stem = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
+    names = stills.where(F.col("path").endswith(".jpg")).select(stem("path").alias("stem")).distinct()
+    return docs.select("clip", stem("clip").alias("stem")).join(names, "stem", "left_semi").select("clip")
+
+
+def html_lines(docs: DataFrame, takes: DataFrame, stills: DataFrame, folder: str) -> Iterator[str]:
+    """One static page; shots by name, cards by rank, pending ones last.
+
+    docs: typed takes; takes: the same, flat, with pending.
+    """
+    landed = takes.where("not pending")
+    by_shot = cost.cost_summary(landed).withColumn("phrase", cost_phrase(F.col("total_usd"), F.col("per_usable"))).collect()
+    spent = {r["shot"]: r["phrase"] for r in by_shot}
+    heads = {r["shot"]: r for r in brief.shot_rollup(takes).collect()}  # a row a shot
+    total = report_totals(takes).first()
+    yield f"<!doctype html><meta charset=utf-8><title>Takes</title><style>{_STYLE}</style>"
+    line = f"<p>{total['reviewed']} takes reviewed, {total['killed']} killed, {total['to_watch']} to watch."
+    if total["doomed"]:
+        line += f" <b class=doomed>doomed: {html.escape(', '.join(total['doomed']))}</b>"
+    if None in spent:
+        line += f" {html.escape(spent[None].capitalize())}."
+    yield line + (f" {total['pending']} regens pending.</p>" if total["pending"] else "</p>")
     shot = None
-    ordered = cards(takes, defects, reasons).orderBy("shot", F.coalesce("rank_in_shot", F.lit(10**6)), "clip")
-    for c in ordered.toLocalIterator():
+    rows = cards(docs, takes.where("pending"), posters(docs, stills), folder).withColumn("slug", slug(F.col("shot"))).orderBy("shot", "place")
+    for c in rows.toLocalIterator():
         if c["shot"] != shot:
-            shot = c["shot"]
-            badge = " <b>doomed</b>" if shot in doomed else ""
-            spent = f" <small>{html.escape(sums[shot]['phrase'])}</small>" if shot in sums else ""
-            out.append(f"<h2 id='{c['slug']}'>{html.escape(shot)}{badge}{spent}</h2>")
-        dots = "".join(f"<i class=dot style='left:{p:.2f}%;top:{r * 7}px'></i>" for p, r in rows_of_dots([d["t"] for d in c["defects"]], c["duration"]))
-        families = defaultdict(list)
-        for d in c["defects"]:
-            families[d["family"]].append(f"{d['rule']} severity {d['severity']} at {d['t']}s: {d['note'] or ''}")
-        lines = [f"<b>{html.escape(f)}</b><ul>" + "".join(f"<li>{html.escape(x)}</li>" for x in xs) + "</ul>" for f, xs in sorted(families.items())]
-        lines += [f"<p>{html.escape(x)}</p>" for x in c["other"]]
-        kind = "card kill" if c["verdict"] == "kill" else "card"
-        out.append(f"<div class='{kind}'>{html.escape(c['file'] or '')} <em>{c['label']}</em><div class=bar>{dots}</div>{''.join(lines)}</div>")
-    if pending is not None:
-        out += [f"<div class=card>{html.escape(p['file'] or '')} <em>pending</em></div>" for p in pending.select("file").orderBy("file").toLocalIterator()]
-    return "\n".join(out)
+            shot, h = c["shot"], heads[c["shot"]]
+            more = f" · {html.escape(spent[shot])}" if shot in spent else ""
+            more += f" · {h['pending']} pending" if h["pending"] else ""
+            more += " <span class=doomed>doomed</span>" if shot in total["doomed"] else ""
+            yield f"<h2 id='{c['slug']}'>{html.escape(shot)} · {h['n_takes']} takes · {h['kills']} killed{more}</h2>"
+        yield c["card"]
+
+
+def write_html(docs: DataFrame, takes: DataFrame, stills: DataFrame, output: str) -> str:
+    with open(output + ".tmp", "w") as f:
+        for line in html_lines(docs, takes, stills, os.path.dirname(os.path.abspath(output))):
+            f.write(line + "\n")
+    os.replace(output + ".tmp", output)
+    return output
 
 
 def dossier(takes: DataFrame, defects: DataFrame, reasons: DataFrame, lineage: DataFrame | None = None) -> dict:

@@ -7,7 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import is_video
+from ..functions.text import is_video, utc_stamp
+from ..operators.judge import DEFAULT_RULES
 from ..schema import TAKE
 
 SUFFIX = ".take.json"
@@ -34,14 +35,12 @@ def find_clips(spark: SparkSession, paths: list[str]) -> DataFrame:
     return clips(out).orderBy("path")
 
 
-def content_hash(content: Column) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(content, 256))
-
-
 def hashed(spark: SparkSession, root: str) -> DataFrame:
-    """clip, take_id from the contents of every clip."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.where(is_video(F.col("path"))).select(F.col("path").alias("clip"), content_hash(F.col("content")).alias("take_id"))
+    """clip, take_id of every clip, read in pieces where it lies."""
+    from .external import extract, hash_file
+
+    files = snapshot(spark, root).select(F.regexp_replace("path", "^file:(//)?", "").alias("clip"))
+    return extract(files, hash_file, "take_id")
 
 
 def _texts(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
@@ -87,15 +86,15 @@ def gold(takes: DataFrame) -> DataFrame:
     return takes.where(F.col("gold.label").isin("pass", "kill")).select("clip", F.col("gold.label").alias("label")).orderBy("clip")
 
 
-def label_clips(clip_rows: DataFrame, label: str) -> DataFrame:
-    """Rows to append to the label table; the latest of a clip holds."""
+def label_patches(clip_rows: DataFrame, label: str) -> DataFrame:
+    """(clip, patch): what a person's label changes in sidecars (sinks.patch_sidecars).
+
+    clip_rows: clip, take_id of its contents, which a sidecar without one gets.
+    """
     if label not in ("pass", "kill"):
         raise ValueError(f"label must be pass or kill, not {label!r}")
-    return clip_rows.select("clip", F.lit(label).alias("label"), F.current_timestamp().alias("labeled"))
-
-
-def latest_labels(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("clip").agg(F.max_by("label", "labeled").alias("label"))
+    gold = F.struct(F.lit(label).alias("label"), utc_stamp().alias("labeled")).alias("gold")
+    return clip_rows.select("clip", F.to_json(F.struct(F.struct("take_id", gold).alias("set"))).alias("patch"))
 
 
 def shot_list(spark: SparkSession, path: str) -> DataFrame:
@@ -104,6 +103,25 @@ def shot_list(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.posexplode(F.split("value", "\n")).alias("pos", "value"))
 
 
+#: Names, severities and thresholds are fixed values (judge.DEFAULT_RULES).
+_ASKS = {
+    "anatomy.hands": ("Does a hand have fewer or more than five fingers, or fingers that melt together?", "Does a hand bend, turn or hold in a way no hand can?"),
+    "anatomy.faces": ("Is a face misshapen: features out of place, missing or doubled?", "Do a face's features drift or change from frame to frame?"),
+    "anatomy.limbs": ("Is there an arm or leg too many, or one missing that should be seen?", "Does a limb bend or stretch in a way no joint allows?"),
+    "artifact.morphing": ("Does one thing turn into another without cause?", "Do surfaces boil, smear or crawl where they should be still?"),
+    "physics.contact": ("Do solid things pass through each other?", "Does something hang in the air, or move, without anything that holds or moves it?"),
+    "physics.motion": ("Does something move against gravity or inertia?", "Does motion jump, stall or reverse without cause?"),
+    "continuity.objects": ("Does a thing appear or vanish without cause?", "Does a thing change its number, size, color or shape between frames?"),
+    "environment.stability": ("Does the background warp, or change its layout, without a move of the camera?", "Do light or weather change without cause?"),
+    "text.legibility": ("Is there writing that should be legible and isn't?", "Do letters change from frame to frame?", "Is a word or logo misspelled or made up?"),
+    "adherence.prompt": ("Is something missing that this direction asks for? {prompt}", "Does something contradict this direction? {prompt}"),
+}
+DEFAULT_RUBRIC = {
+    name: {"questions": [{"ask": a, "severity": s} for a, s in zip(_ASKS[name], severities, strict=True)]} | ({"fail_at": fail_at} if fail_at else {}) | ({"needs": needs} if needs else {})
+    for name, (severities, fail_at, needs) in DEFAULT_RULES.items()
+}
+
+
 def load_rubric(path: str) -> dict[str, dict]:
     """Rules of a JSON or YAML file, with or without a ``rules`` wrapper."""
     raw = Path(path).read_text()
@@ -126,11 +144,11 @@ def load_rubric(path: str) -> dict[str, dict]:
 
 
 def rubric_frames(spark: SparkSession, rules: dict[str, dict]) -> tuple[DataFrame, DataFrame]:
-    """(rules: rule, fail_at, needs), (questions: rule, q, severity, ask)."""
-    heads = [(n, r.get("fail_at"), r.get("needs")) for n, r in rules.items()]
+    """(rules: rule, fail_at, needs, prompt), (questions: rule, q, severity, ask)."""
+    heads = [(n, r.get("fail_at"), r.get("needs"), r.get("prompt")) for n, r in rules.items()]
     asks = [(n, i, int(q.get("severity", 3)), q["ask"]) for n, r in rules.items() for i, q in enumerate(r.get("questions") or [], 1)]
     return (
-        spark.createDataFrame(heads, "rule string, fail_at int, needs string"),
+        spark.createDataFrame(heads, "rule string, fail_at int, needs string, prompt string"),
         spark.createDataFrame(asks, "rule string, q int, severity int, ask string"),
     )
 

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import json
-import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.lineage import LINEAGE_CAP
+from ..plans.session import importable
+
+SUFFIX = ".take.json"
+
 CUT_COLUMNS = ("n", "record_in", "record_out", "tc_in", "shot", "rank", "verdict", "take_id", "file")
 
 
@@ -37,23 +42,59 @@ def envelope(kind: str, rows: DataFrame, **counts: int) -> str:
     return json.dumps(counts | {kind: [json.loads(r) for r in rows.toJSON().toLocalIterator()]}, indent=2)
 
 
+def local(path: str) -> str:
+    return path.removeprefix("file://").removeprefix("file:")
+
+
+def now() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def load_sidecar(clip: str) -> dict:
+    """A clip's sidecar, or the empty skeleton of one."""
+    path = Path(local(clip) + SUFFIX)
+    if path.exists():
+        return json.loads(path.read_text())
+    return dict.fromkeys(("take_id", "shot", "parent", "created")) | {"output": {"file": path.name.removesuffix(SUFFIX)}, "recipe": None, "review": None}
+
+
+def change_sidecar(clip: str, change: Callable[[dict], dict]) -> str:
+    """Rewrites a sidecar by rename; keys that ``change`` leaves alone stay."""
+    return save_json(change(load_sidecar(clip)), local(clip) + SUFFIX)
+
+
+def _each(rows: DataFrame, save: Callable[[str, str], object], column: str) -> int:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for clip, text in zip(pdf["clip"], pdf[column], strict=True):
+                save(clip, text)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    importable(rows.sparkSession)
+    return int(rows.select("clip", column).mapInPandas(run, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0)
+
+
 def export_sidecars(docs: DataFrame) -> int:
     """Writes (clip, json) rows as sidecars, each by rename; returns how many.
 
     Unknown keys are kept, as ``json`` is the whole document.
     """
+    return _each(docs, lambda clip, text: save_json(json.loads(text), local(clip) + SUFFIX), "json")
 
-    def save(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for clip, text in zip(pdf["clip"], pdf["json"], strict=True):
-                path = clip.removeprefix("file://").removeprefix("file:") + ".take.json"
-                with open(path + ".tmp", "w") as f:
-                    f.write(text if text.endswith("\n") else text + "\n")
-                os.replace(path + ".tmp", path)
-            yield pd.DataFrame({"n": [len(pdf)]})
 
-    total = docs.select("clip", "json").mapInPandas(save, "n long").agg(F.sum("n").alias("n")).first()["n"]
-    return int(total or 0)
+def patched(doc: dict, patch: dict) -> dict:
+    """A sidecar with the patch's blocks: ``set`` at the top, ``output`` and
+    ``review`` key by key (or a ``fresh`` review), ``reasons`` of the kill."""
+    out = doc | patch.get("set", {}) | {"output": (doc.get("output") or {}) | patch.get("output", {})}
+    review = (patch.get("fresh") or doc.get("review") or {}) | patch.get("review", {})
+    if "reasons" in patch:
+        review["mechanical"] = (review.get("mechanical") or {}) | {"kill_reasons": patch["reasons"]}
+    return out | {"review": review or None}
+
+
+def patch_sidecars(patches: DataFrame) -> int:
+    """Changes the sidecars of (clip, patch) rows where they lie."""
+    return _each(patches, lambda clip, text: change_sidecar(clip, lambda doc: patched(doc, json.loads(text))), "patch")
 
 
 def save_json(doc: dict, path: str) -> str:
@@ -71,7 +112,17 @@ def load_json(path: str, default: dict | None = None) -> dict:
 
 
 def fresh_ledger() -> dict:
-    return {"version": 1, "want_default": 1, "want": {}, "caps": {}, "attempts": 0, "spend_usd": 0.0, "shots": {}, "jobs": {}}
+    caps = {"lineage": LINEAGE_CAP, "attempts": None, "spend_usd": None}
+    return {"version": 1, "created": now(), "updated": None, "want_default": 1, "want": {}, "caps": caps, "attempts": 0, "spend_usd": 0.0, "shots": {}, "jobs": {}}
+
+
+def load_ledger(path: str) -> dict:
+    """A run's state, or a fresh one's."""
+    return load_json(path, fresh_ledger())
+
+
+def save_ledger(doc: dict, path: str) -> str:
+    return save_json(doc | {"updated": now()}, path)
 
 
 def append_history(path: str, record: dict) -> dict | None:

@@ -1,7 +1,6 @@
 """Pinned behaviour on small inline tables."""
 
 import json
-import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,7 +159,7 @@ def gate_inputs(spark, status="active", length=1, spend=1.1):
         ({}, {"attempts_cap": 5, "spend_cap": 1.0}, "c", "global attempt cap 5 reached"),
         ({}, {}, "d", "parent d not in the scanned takes"),
         ({"status": "complete", "length": 9}, {}, "c", "shot s complete: 1 passing of 1 wanted"),
-        ({"status": "blocked"}, {}, "c", "shot s blocked: hand kills under distinct seeds"),
+        ({"status": "blocked"}, {}, "c", "shot s blocked: hand kills under distinct seeds; needs a human, not a reseed"),
         ({"status": "doomed"}, {}, "c", "shot s doomed: 8 mechanical kills in 9 takes"),
         ({"length": 4}, {}, "c", "lineage cap 4 reached for the chain ending at c"),
     ],
@@ -233,6 +232,10 @@ def test_replies(spark):
     got = answers('say ```{"answers": [{"q": 1, "yes": "Yes", "t": 1.23456}, {"q": "x"}, {"q": "2", "yes": false}, 7]}``` done')
     assert [(a["q"], a["yes"], a["t"]) for a in got] == [(1, True, 1.235), (2, False, None)]
     assert answers("nothing here") is None and answers('{"answers": 3}') is None
+    for junk in ('{"answers": [{"q": 1}]} and {x}', '{"answers": [{"q": 1}]}{"answers": []}', '{"answers": [{"q": 1}]}, {"b": 2}', '{"answers": [{"q": 1}]}]}', '{"answers": [{"q": 1}'):
+        assert answers(junk) is None, junk
+    got = answers('{"answers": [{"q": 2.9, "yes": 1, "t": "2.0005", "note": null}, {"q": "2.5"}, {"q": true, "yes": "TRUE ", "t": "x", "note": 7}, {"q": null}]}')
+    assert [tuple(a) for a in got] == [(2, True, 2.001, "None"), (1, True, None, "7")]
     d = one(spark, d=text.parse_defects(F.lit('{"defects": [{"t": "1.5", "severity": 9, "note": "n"}, {"t": 1}]}')))["d"]
     assert [(x["t"], x["severity"], x["note"]) for x in d] == [(1.5, 5, "n")]
 
@@ -291,7 +294,15 @@ def test_schema_is_published(spark):
         assert json.loads(schema.published(name))["title"] == name
 
 
-def test_python_round(spark):
-    df = spark.createDataFrame([(2.675,), (0.125,), (None,)], "x double")
-    got = [r["y"] for r in df.select(kernels.python_round(F.col("x"), 2).alias("y")).collect()]
-    assert got[:2] == [2.67, 0.12] and (got[2] is None or math.isnan(got[2]))
+def test_rounding_is_of_the_binary_value(spark):
+    import random
+
+    r = random.Random(4)
+    xs = [2.675, 0.125, 0.35, 0.45, 1.15, 2.55, 8.65, 0.05, 0.25, 0.75, 1e-9, 12345.6785, 99.995, 0.0, 2.0, *(r.uniform(0, 100) for _ in range(300)), *(r.randrange(10**5) / 1000 for _ in range(1500))]
+    cols = [f(F.col("x"), d).alias(f"{f.__name__}{d}") for f in (kernels.exact_round, kernels.fixed) for d in (1, 2, 3)]
+    for row in spark.createDataFrame([(x,) for x in xs], "x double").select("x", *cols).collect():
+        x = row["x"]
+        assert [row[f"exact_round{d}"] for d in (1, 2, 3)] == [round(x, d) for d in (1, 2, 3)], x
+        assert [row[f"fixed{d}"] for d in (1, 2, 3)] == [f"{x:.1f}", f"{x:.2f}", f"{x:.3f}"], x
+    got = one(spark, n=kernels.exact_round(F.lit(None).cast("double"), 2), m=kernels.fixed(F.lit(-2.675), 2), z=kernels.fixed(F.lit(None).cast("double"), 1))
+    assert tuple(got) == (None, "-2.67", None)

@@ -3,17 +3,14 @@
 import io
 import json
 import os
-import stat
-import time
 from contextlib import redirect_stdout
 
 import pytest
 from pyspark.sql import functions as F
 
-from taketriage import cli, report
+from taketriage import cli
 from taketriage.operators import judge, labels, ledger, rank, screening
-from taketriage.sources import external, sidecars, sinks
-from taketriage.streaming import watch
+from taketriage.sources import sidecars, sinks
 
 
 def take(n, shot="shot-a", verdict="review", parent=None, defects=(), reasons=(), gold=None, vlm=True, **more):
@@ -103,38 +100,44 @@ def test_rubric_and_prices(tmp_path, spark):
 
 
 class StubJudge:
-    """Says yes to every odd sample's first question, or what it's told."""
+    """Says what it's told for the question in the message."""
 
     def __init__(self, replies):
         self.replies = replies
 
-    def __call__(self, messages):
-        text = messages[0]["content"]
+    def __call__(self, messages, temperature=0.0):
+        text = messages[1]["content"][0]["text"]
         key = next(k for k in self.replies if k in text)
         return self.replies[key], {"prompt_tokens": 10, "completion_tokens": 1}
 
 
+def one_frame(path, times):
+    return [(times[0], "anBlZw==")]
+
+
 def test_screen_escalate_scrutinize(spark):
     rules, questions = sidecars.rubric_frames(
-        spark, {"a": {"fail_at": 4, "questions": [{"ask": "AAA?", "severity": 4}]}, "b": {"fail_at": 4, "questions": [{"ask": "BBB?", "severity": 5}]}, "c": {"fail_at": None, "needs": "recipe.prompt_text", "questions": [{"ask": "CCC?"}]}}
+        spark, {"a": {"fail_at": 4, "questions": [{"ask": "AAA?", "severity": 4}]}, "b": {"fail_at": 4, "questions": [{"ask": "BBB?", "severity": 5}]}, "c": {"fail_at": None, "needs": "recipe.prompt_text", "questions": [{"ask": "CCC {prompt}?"}]}}
     )
     takes = spark.createDataFrame([("c1", '{"recipe": {"prompt_text": "p"}}', None, "review"), ("c2", "{}", "x", "review")], "clip string, json string, parent string, verdict string").withColumn("doc", F.parse_json("json"))
     context = judge.needs_context(rules, takes)
-    rows = screening.asks(takes, questions, context, samples=3)
-    assert rows.count() == 3 * (2 * 2 + 1)
-    yes, no = '{"answers": [{"q": 1, "yes": true, "t": 1.5, "note": "n"}]}', '{"answers": []}'
-    block = screening.screened(rows, questions, StubJudge({"AAA": yes, "BBB": "no json", "CCC": no}))
-    assert sorted((r["clip"], r["rule"], r["confidence"]) for r in block.defects.collect()) == [("c1", "a", 1.0), ("c2", "a", 1.0)]
+    rows = screening.asks(takes, rules, questions, context, samples=3)
+    times = spark.createDataFrame([("c1", [0.5, 1.0]), ("c2", [])], "clip string, times array<double>")
+    assert sorted((r["clip"], r["rule"], r["samples"]) for r in rows.collect()) == [("c1", "a", 3), ("c1", "b", 3), ("c1", "c", 3), ("c2", "a", 3), ("c2", "b", 3)]
+    yes, no = '{"answers": [{"q": 1, "yes": true, "note": "n"}]}', '{"answers": []}'
+    block = screening.screened(rows, times, questions, StubJudge({"AAA": yes, "BBB": "no json", "CCC p?": no}), one_frame)
+    assert sorted((r["clip"], r["rule"], r["t"], r["confidence"]) for r in block.defects.collect()) == [("c1", "a", 0.5, 1.0), ("c2", "a", 0.0, 1.0)]
     assert {r["rule"] for r in block.unparsed.collect()} == {"b"} and block.uncertain.count() == 0
     assert block.usage.agg(F.sum("calls")).first()[0] == 15
-    after, used = screening.escalated(block, rows, rules, questions, StubJudge({"BBB": yes}))
+    after, used, subset = screening.escalated(block, rows, times, rules, questions, StubJudge({"BBB": yes}), one_frame)
     assert sorted((r["clip"], r["rule"]) for r in after.defects.collect()) == [("c1", "a"), ("c1", "b"), ("c2", "a"), ("c2", "b")]
-    assert after.unparsed.count() == 0 and used.agg(F.sum("calls")).first()[0] == 2
-    kills = judge.rule_kills(after.defects, rules)
-    assert kills.count() == 4
+    assert after.unparsed.count() == 0 and used.agg(F.sum("calls")).first()[0] == 2 and subset.count() == 2
+    assert judge.rule_kills(after.defects, rules).count() == 4
     parents = spark.createDataFrame([("c2", "b"), ("c1", "a")], "clip string, rule string")
-    extra = screening.scrutinized(takes, rows, parents, rules, questions, StubJudge({"BBB": no}), StubJudge({"BBB": yes}))
-    assert [(r["clip"], r["rule"]) for r in extra.defects.collect()] == [("c2", "b")]
+    extra, used, subset = screening.scrutinized(takes, rows, times, parents, rules, questions, StubJudge({"BBB": no}), StubJudge({"BBB": yes}), one_frame)
+    assert [(r["clip"], r["rule"]) for r in extra.defects.collect()] == [("c2", "b")] and used.first()["calls"] == 1
+    with pytest.raises(Exception, match="no frame"):
+        screening.screened(rows, times, questions, StubJudge({}), lambda path, at: [])
 
 
 def test_review_predicates(spark):
@@ -152,74 +155,18 @@ def test_rerank_touches_only_changed_shots(spark):
     assert {r["clip"]: r["rank_in_shot"] for r in got} == {"a": 2, "b": 1}
 
 
-def test_job_table(spark):
-    jobs = spark.createDataFrame([("k1", "running"), ("k2", "queued")], "key string, state string")
-    out = {r["key"]: r for r in ledger.resolved(jobs, spark.createDataFrame([("k1", "done")], "key string, state string")).collect()}
-    assert out["k1"]["state"] == "done" and out["k1"]["resolved"] and out["k2"]["resolved"] is None
-    assert ledger.recorded(jobs, spark.createDataFrame([("k3",)], "key string")).where("state = 'queued'").count() == 2
+def test_settled_table(spark):
     before = spark.createDataFrame([("a", 1, 10.0), ("b", 1, 10.0)], "clip string, size long, mtime double")
     now = spark.createDataFrame([("a", 1, 10.0), ("b", 2, 11.0), ("c", 1, 1.0)], "clip string, size long, mtime double")
     assert [r["clip"] for r in ledger.settled(before, now, 5, 20.0).collect()] == ["a"]
 
 
-def script(path, body):
-    path.write_text("#!/bin/sh\n" + body)
-    path.chmod(path.stat().st_mode | stat.S_IEXEC)
-    return str(path)
-
-
-def test_driver_contract(tmp_path):
-    good = script(tmp_path / "good", 'if [ "$1" = submit ]; then cat > /dev/null; echo job-1; else echo \'{"state": "done", "output": "x"}\'; fi\n')
-    assert external.submit(good, {"clip": "c"}) == "job-1" and external.wait(good, "job-1")["state"] == "done"
-    for body in ("echo a; echo b", "exit 3", "true"):
-        with pytest.raises(external.DriverError):
-            external.submit(script(tmp_path / "bad", body + "\n"), {})
-    for body in ("echo nothing", "echo '{\"state\": \"done\"}'", "echo '{\"state\": \"lost\"}'"):
-        with pytest.raises(external.DriverError):
-            external.poll(script(tmp_path / "bad", body + "\n"), "j")
-    assert external.new_clip_path("/a/b.mp4", 255) == "/a/b-regen-000000ff.mp4"
-    stub = external.write_stub({"take_id": "i", "shot": "s", "recipe": {"prompt_text": "p", "seeds": {"3": 1}}}, str(tmp_path / "n.mp4"), {"3": 2}, "d", "j", "now")
-    assert stub["recipe"] == {"prompt_text": "p", "seeds": {"3": 2}} and json.loads((tmp_path / "n.mp4.take.json").read_text())["parent"] == "i"
-
-
-def test_resubmitter():
-    clock, calls = [0.0], []
-
-    def submit(kill):
-        calls.append(kill["clip"])
-        if kill["shot"] == "bad":
-            raise external.DriverError("no")
-        return f"job-{len(calls)}"
-
-    r = watch.Resubmitter(submit, lambda clip: (clip != "gate", "shot s complete"), rate=4, now=lambda: clock[0])
-    assert [r.on_kill({"clip": "x", "shot": "bad"})["action"] for _ in range(3)] == ["driver-error"] * 3
-    assert "straight driver failures" in r.on_kill({"clip": "x", "shot": "bad"})["reason"]
-    assert r.on_kill({"clip": "gate", "shot": "s"})["reason"] == "shot s complete"
-    assert r.on_kill({"clip": "y", "shot": "s"})["action"] == "submitted"
-    assert "rate cap 4/min" in r.on_kill({"clip": "z", "shot": "s"})["reason"]
-    clock[0] = 61.0
-    assert r.on_kill({"clip": "z", "shot": "s"})["action"] == "submitted" and len(r.jobs) == 2
-    assert watch.Resubmitter(submit, lambda c: (True, None), dry_run=True).on_kill({"clip": "q", "shot": "s"})["action"] == "dry-run"
-
-
-def test_settled_stream(spark, tmp_path):
-    root = tmp_path / "clips"
-    root.mkdir()
-    (root / "old.mp4").write_bytes(b"1")
-    (root / "new.mp4").write_bytes(b"2")
-    (root / "x.txt").write_bytes(b"3")
-    os.utime(root / "old.mp4", (time.time() - 100,) * 2)
-    os.utime(root / "new.mp4", (time.time() + 100,) * 2)
-    seen = []
-    review = lambda clips: clips.select("clip", F.lit("s").alias("shot"), F.when(F.col("clip").endswith("old.mp4"), "kill").otherwise("review").alias("verdict"))
-    q = watch.watch(watch.settled_clips(spark, str(root), 10), review, seen.append, str(tmp_path / "cp"), on_kill=lambda k: {"event": "regen", "parent": k["clip"]}, processingTime="0 seconds")
-    end = time.time() + 60
-    while len(seen) < 2 and time.time() < end:
-        time.sleep(0.3)
-    failed = q.exception()
-    q.stop()
-    assert not failed, str(failed)[:3000]
-    assert [os.path.basename(x.get("clip", "")) for x in seen] == ["old.mp4", ""] and seen[1]["event"] == "regen"
+def test_patched_documents():
+    doc = {"x": 1, "output": {"file": "a", "y": 2}, "review": {"verdict": "kill", "mine": 3, "mechanical": {"probe": {}, "kill_reasons": ["z"]}}}
+    got = sinks.patched(doc, {"set": {"shot": "s"}, "output": {"fps": 8.0}, "review": {"verdict": "review"}, "reasons": []})
+    assert got == {"x": 1, "shot": "s", "output": {"file": "a", "y": 2, "fps": 8.0}, "review": {"verdict": "review", "mine": 3, "mechanical": {"probe": {}, "kill_reasons": []}}}
+    assert sinks.patched(doc, {"fresh": {"mechanical": {"a": 1}}, "review": {"verdict": "kill"}})["review"] == {"mechanical": {"a": 1}, "verdict": "kill"}
+    assert sinks.patched({"review": None}, {"set": {"gold": {"label": "pass"}}}) == {"review": None, "gold": {"label": "pass"}, "output": {}}
 
 
 def run(spark, *argv):
@@ -237,35 +184,17 @@ def test_commands(spark, batch, tmp_path):
     assert (a["n_takes"], a["kills"], a["yield"]) == (3, 2, 0.333) and a["kill_reasons"] == {"mechanical": {"black": 1}, "rule": {"hand.x": 1}}
     assert a["rules"]["hand.x"]["mean_severity"] == 3.0 and a["lineage"] == {"reruns": 2, "max_depth": 2}
     assert "shot-a: 3 takes, 2 killed" in run(spark, "brief", batch)[1]
-    code, text = run(spark, "assemble", batch, "--csv", tmp_path / "cut")
-    assert code == 0 and [r["shot"] for r in json.loads(text)] == ["shot-a", "untagged"]
-    code, _ = run(spark, "report", batch, "-o", tmp_path / "r.html")
-    page = (tmp_path / "r.html").read_text()
-    assert code == 0 and "needs review" in page and "4 reviewed, 2 killed" in page
     code, text = run(spark, "calibrate", batch, "--alpha", "0.5", "-o", tmp_path / "c.json")
     assert code == 0 and json.loads(text)["n_pass"] == 2
     assert run(spark, "calibrate", batch, "-o", tmp_path / "c.json")[0] == 1
     assert run(spark, "fit", batch, "-o", tmp_path / "c.json")[0] == 2  # three judged labels only
-    code, text = run(spark, "judge-check", batch, "--history", tmp_path / "h.json")
-    assert code == 0 and json.loads(text)["kappa"] == 1.0
-    assert json.loads(run(spark, "judge-check", batch, "--history", tmp_path / "h.json", "--fail-below", "2")[1])["previous"]["n"] == 4
     assert json.loads(run(spark, "schema", "take")[1])["title"] == "take"
-    assert run(spark, "gold", "list", batch)[0] == 0
-    assert run(spark, "verdict", batch / "none.mp4")[0] == 2
-    driver = script(tmp_path / "d", "cat > /dev/null; echo job-9\n")
-    code, text = run(spark, "regen", batch / "t2.mp4", "--driver", driver)
-    assert code == 0 and json.loads(text)["job"] == "job-9" and json.loads(text)["seeds"]["3"] != 2
-
-
-def test_timeline_rows():
-    assert report.rows_of_dots([1.0, 1.01, 9.0], 10.0) == [(10.0, 0), (pytest.approx(10.1), 1), (90.0, 0)]
+    assert "4 labeled takes" in run(spark, "gold", "list", batch)[1]
 
 
-def test_labels_table(spark, tmp_path):
-    clips = spark.createDataFrame([("a",)], "clip string")
-    sidecars.label_clips(clips, "pass").write.parquet(str(tmp_path / "g"))
-    sidecars.label_clips(clips, "kill").write.mode("append").parquet(str(tmp_path / "g"))
-    assert sidecars.latest_labels(spark.read.parquet(str(tmp_path / "g"))).first()["label"] == "kill"
+def test_labels_are_checked(spark):
+    clips = spark.createDataFrame([("a", "sha256:00")], "clip string, take_id string")
+    assert json.loads(sidecars.label_patches(clips, "pass").first()["patch"])["set"]["gold"]["label"] == "pass"
     with pytest.raises(ValueError):
-        sidecars.label_clips(clips, "maybe")
+        sidecars.label_patches(clips, "maybe")
     assert labels.valid_gold(spark.createDataFrame([("a", "x"), ("b", "pass")], "clip string, label string")).count() == 1
