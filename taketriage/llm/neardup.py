@@ -20,10 +20,17 @@ sets have a resemblance of 0.75 or more.
 
 A pair of resemblance 0.75 shares no bucket with a probability of 5e-6.
 
+A node is a class of equal sets, under a number given as classes are written;
+so an id that many rows have, or lack, is no hot key.  Rows with one doc_id are
+in one component, whatever their texts.  A row without a doc_id is linked by its
+text alone; the component_id is the smallest id in the component, null where it
+has none, and a row without an id is kept in such a component only.
+
 Words are runs of anything but white space, A-Z lower-cased.  A null or empty
-text, or one without words, has an empty set and is linked with nothing.  Rows
-with one doc_id are one node, whatever their texts.  A null doc_id takes part
-as the smallest id and is returned as null.
+text, or one without words, has an empty set and is linked with nothing: its
+component is its own id.  Repeated rows give repeated results; an empty table
+gives no rows; other columns of any name are kept or ignored; texts of any
+length are read whole.
 """
 
 from __future__ import annotations
@@ -35,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import NULL_ID, map_batches, ready, slices, written
+from .shared import NULL_ID, discard, map_batches, ready, slices, written
 from .words import NOT_SPACE, mixed, shingle_hashes, word_hashes
 
 SHINGLE, PERMUTATIONS, ROWS, BITS = 5, 128, 4, 4
@@ -49,7 +56,7 @@ NEAR = 0.55
 FIRST = 4
 #: Members compared with each other in one block by estimate; pairs of one
 #: head confirmed in one group; residents of a component in one group.
-BLOCK, GROUP, RESIDENTS = 512, 64, 256
+BLOCK, GROUP, RESIDENTS = 8192, 64, 256
 
 
 @lru_cache(maxsize=1)
@@ -98,16 +105,15 @@ def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("binary").alias("text")
-    )
+    """doc_id, copy (a hash of the text, for ids that repeat or lack), text."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("copy"), F.col(text_col).cast("binary").alias("text"))
 
 
 _SIG = [f"s{i}" for i in range(LONGS)]
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), bands, s0.. (packed low bits)."""
+    """doc_id, copy, n_shingles, digest (of the set), bands, s0.. (packed low bits)."""
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -125,16 +131,17 @@ def signatures(rows: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
+                batch.column("copy"),
                 pa.array(n, pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.array(bands, pa.list_(pa.int64())),
                 *[pa.array(packed_[:, i]) for i in range(LONGS)],
             ],
-            ["doc_id", "n_shingles", "digest", "bands", *_SIG],
+            ["doc_id", "copy", "n_shingles", "digest", "bands", *_SIG],
         )
 
     longs = ", ".join(f"{s} long" for s in _SIG)
-    return map_batches(rows, fn, f"doc_id long, n_shingles long, digest binary, bands array<long>, {longs}")
+    return map_batches(rows, fn, f"doc_id long, copy long, n_shingles long, digest binary, bands array<long>, {longs}")
 
 
 def estimate(a: list[Column], b: list[Column]) -> Column:
@@ -179,15 +186,17 @@ def _candidates(members: DataFrame, heads: DataFrame, reps: DataFrame) -> DataFr
 _EDGE = "a long, b long"
 
 
-def _with_sets(rows: DataFrame, needs: DataFrame) -> DataFrame:
-    """(group columns, doc_id, role, shingles): each node's set, made once from
+def _with_sets(rows: DataFrame, reps: DataFrame, needs: DataFrame) -> DataFrame:
+    """(group columns, node, role, shingles): each node's set, made once from
     its whole text, for every group that needs it.
 
-    needs: node, group (a struct).  Needs are the small side in each partition;
-    texts are dealt but not sorted, at every size alike.
+    needs: node, group (a struct).  Rows with one id and text are one before
+    they are dealt.  Both sides are merged at every size, which can spill.
     """
-    needs = needs.groupBy("node").agg(F.collect_list("group").alias("groups"))
-    texts = rows.join(needs.hint("shuffle_hash"), rows["doc_id"] == needs["node"]).select("doc_id", "text", "groups")
+    key = [F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "copy"]
+    needs = needs.groupBy("node").agg(F.collect_list("group").alias("groups")).join(reps.select("node", "id", "copy"), "node")
+    once = rows.groupBy(*key).agg(F.first("text").alias("text"))
+    texts = once.join(needs.hint("merge"), ["id", "copy"]).select("node", "text", "groups")
     group = dict(texts.dtypes)["groups"]
 
     def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -197,17 +206,17 @@ def _with_sets(rows: DataFrame, needs: DataFrame) -> DataFrame:
             values = np.concatenate([np.zeros(0, np.int64), *made])
             ends = np.concatenate([[0], np.cumsum([len(s) for s in made])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("groups"), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "groups", "shingles"]
+                [part.column("node"), part.column("groups"), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["node", "groups", "shingles"]
             )
 
-    made = map_batches(texts, sets, f"doc_id long, groups {group}, shingles array<long>")
-    return made.select("doc_id", F.explode("groups").alias("g"), "shingles").select("g.*", "doc_id", "shingles")
+    made = map_batches(texts, sets, f"node long, groups {group}, shingles array<long>")
+    return made.select("node", F.explode("groups").alias("g"), "shingles").select("g.*", "node", "shingles")
 
 
 def _first_links(table: pa.Table) -> list[tuple[int, int]]:
     """(visitor, resident): for each visitor the first resident that it is
     linked with, by an index of the residents' shingles."""
-    ids, role = table.column("doc_id").to_numpy(), table.column("role").to_numpy()
+    ids, role = table.column("node").to_numpy(), table.column("role").to_numpy()
     lists = table.column("shingles").combine_chunks()
     values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
     at = [values[ends[i] : ends[i + 1]] for i in range(len(ids))]
@@ -233,14 +242,16 @@ def _first_links(table: pa.Table) -> list[tuple[int, int]]:
 
 
 def _linked(made: DataFrame, *keys: str) -> DataFrame:
+    n = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def test(table: pa.Table) -> pa.Table:
         links = _first_links(table)
         return pa.table({"a": pa.array([b for _, b in links], pa.int64()), "b": pa.array([a for a, _ in links], pa.int64())})
 
-    return made.groupBy(*keys).applyInArrow(test, _EDGE)
+    return made.repartition(n, *keys).groupBy(*keys).applyInArrow(test, _EDGE)
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) linked on their full sets.
 
     Pairs of one ``a`` are dealt to groups of about GROUP.
@@ -249,10 +260,10 @@ def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
     to = lambda role: F.struct("a", "salt", F.lit(role).alias("role")).alias("group")
     heads = dealt.groupBy("a", "salt").agg(F.lit(1).alias("_")).select(F.col("a").alias("node"), to(0))
-    return _linked(_with_sets(rows, dealt.select(F.col("b").alias("node"), to(1)).unionByName(heads)), "a", "salt")
+    return _linked(_with_sets(rows, reps, dealt.select(F.col("b").alias("node"), to(1)).unionByName(heads)), "a", "salt")
 
 
-def confirmed_with(visits: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame:
+def confirmed_with(visits: DataFrame, labels: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     """Links (a, b) of visitors with any member of the components they visit.
 
     visits: node, comp.  A component's members are dealt to groups of about
@@ -266,7 +277,7 @@ def confirmed_with(visits: DataFrame, labels: DataFrame, rows: DataFrame) -> Dat
     to = lambda role: F.struct("comp", F.col("salt").cast("long").alias("salt"), F.lit(role).alias("role")).alias("group")
     dealt = homes.join(counts, "comp").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))).select("node", to(0))
     calls = visits.join(counts, "comp").withColumn("salt", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int")))).select("node", to(1))
-    return _linked(_with_sets(rows, dealt.unionByName(calls)), "comp", "salt")
+    return _linked(_with_sets(rows, reps, dealt.unionByName(calls)), "comp", "salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -282,10 +293,13 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(other, "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
         moved = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "c").alias("comp"))
         jump = moved.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-        moved = written(moved.join(jump, "comp").select("node", "was", F.least("comp", "to").alias("comp")), "labels")
-        labels = moved.select("node", "comp")
-        if moved.where("comp < was").isEmpty():
-            return labels
+        new = written(moved.join(jump, "comp").select("node", "was", F.least("comp", "to").alias("comp")), "labels")
+        discard(labels)
+        if new.where("comp < was").isEmpty():
+            discard(both)
+            return new.select("node", "comp")
+        labels = written(new.select("node", "comp"), "labels")
+        discard(new)
 
 
 def _visits(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
@@ -297,16 +311,15 @@ def _visits(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame
     sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     lab = labels.join(sizes, "comp").select(F.col("node").alias("n"), "comp", "size")
     at = members.join(lab, members["node"] == lab["n"], "left")
-    at = written(at.select("key", "node", "digest", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size")), "members")
+    at = written(at.select("key", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size")), "members")
     open_ = (
         at.groupBy("key")
         .agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
         .where("c0 < c1")
         .select("key", "nb")
     )
-    # by the set's digest: a node may have several texts, and each is in its own buckets only
-    mine = F.pmod(F.xxhash64("digest"), F.col("nb")).cast("int")
-    with_blocks = at.join(open_, "key").withColumn("k", mine).join(reps.select("node", "digest", "n_shingles", "bands", *_SIG), ["node", "digest"]).drop("digest")
+    mine = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
+    with_blocks = at.join(open_, "key").withColumn("k", mine).join(reps.select("node", "n_shingles", "bands", *_SIG), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
     dealt = with_blocks.select("*", other).withColumn("i", F.least("k", "o")).withColumn("j", F.greatest("k", "o"))
     most = int(PERMUTATIONS * (1 - (NEAR * (1 - 2.0**-BITS) + 2.0**-BITS)))
@@ -334,46 +347,69 @@ def _visits(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame
             found.update((c, int(comp[x])) for c in node[y[~goes]].tolist())
         return pa.table({"node": pa.array([a for a, _ in found], pa.int64()), "comp": pa.array([b for _, b in found], pa.int64())})
 
-    out = dealt.groupBy("key", "i", "j").applyInArrow(test, "node long, comp long")
+    # as many tasks as there are partitions: rows are few and small, work is not
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = dealt.repartition(n, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(test, "node long, comp long")
     return out.groupBy("node", "comp").agg(F.lit(1).alias("_")).drop("_")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
+def _same_id(sigs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges (a, b) between the classes that rows of one doc_id are in."""
+    rows = sigs.where("n_shingles > 0 and doc_id is not null").select("doc_id", "digest")
+    several = rows.groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("d0 != d1")
+    nodes = reps.select("digest", "node")
+    pairs = rows.join(several, "doc_id").where("digest != d0").groupBy("digest", "d0").agg(F.lit(1).alias("_"))
+    return pairs.join(nodes.withColumnRenamed("node", "b"), "digest").join(nodes.select(F.col("digest").alias("d0"), F.col("node").alias("a")), "d0").select("a", "b")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, copy, n_shingles, component_id, kept, a row for each of ``docs``."""
     ready(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
     sigs = written(signatures(rows), "signatures")
-    classes = sigs.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    classes = written(classes, "classes")
-    first = sigs.withColumnRenamed("doc_id", "node").join(classes, ["digest", "node"])
-    reps = written(first.select("node", "digest", "n_shingles", "bands", *_SIG), "classes-signed")
-    band = reps.select("node", "digest", F.explode("bands").alias("key"))
+    row = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "copy")
+    shape = F.struct("n_shingles", "bands", *_SIG)
+    first = sigs.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.min(row).alias("at"), F.first(shape).alias("x"))
+    numbered = first.select(F.monotonically_increasing_id().alias("node"), "digest", "least_id", "at.*", "x.*")
+    reps = written(numbered, "classes")  # the numbers hold from here on
+    band = reps.select("node", F.explode("bands").alias("key"))
     heads = band.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     heads = written(heads, "heads")
     members = written(band.join(heads.select("key"), "key"), "bucket-members")
     near = written(_candidates(members, heads, reps), "candidates")
     # the nearest partners of each class first; it has as many as bands, at most twice
     order = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("est"), "a"))
-    links = written(confirmed(written(near.withColumn("r", order).where(F.col("r") <= FIRST).select("a", "b"), "first"), rows), "links")
+    told = written(near.withColumn("r", order).where(F.col("r") <= FIRST).select("a", "b"), "first")
+    links = written(confirmed(told, rows, reps).unionByName(_same_id(sigs, reps)), "links")
+    discard(heads, near, told)
     labels = components(links)
     visits = written(_visits(members, reps, labels), "visits")
-    more = written(confirmed_with(visits, labels, rows), "more-links")
+    more = written(confirmed_with(visits, labels, rows, reps), "more-links")
+    discard(members, visits)
     labels = components(links.unionByName(more))
-    label = classes.join(labels, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
-    comp = F.coalesce("comp", "doc_id")
+    discard(links, more)
+    of = reps.select("node", "digest", "least_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = of.groupBy("comp").agg(F.min("least_id").alias("component_id"))
+    label = of.join(least, "comp").select("digest", "component_id", F.lit(True).alias("found"))
+    comp = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id"))
     return (
-        sigs.select("doc_id", "n_shingles", "digest")
+        sigs.select("doc_id", "copy", "n_shingles", "digest")
         .join(label, "digest", "left")
-        .select(
-            F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"),
-            "n_shingles",
-            F.nullif(comp, F.lit(NULL_ID)).alias("component_id"),
-            (F.col("doc_id") == comp).alias("kept"),
-        )
+        .select("doc_id", "copy", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
     )
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept."""
+    return _marked(docs, id_col, text_col).drop("copy")
+
+
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose doc_id is the smallest of its component, as they are."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__kept")).agg(F.lit(1).alias("_"))
-    return docs.join(kept.drop("_"), F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)) == F.col("__kept"), "left_semi")
+    """The rows that are kept, as they are."""
+    key = lambda i: F.coalesce(i.cast("long"), F.lit(NULL_ID))
+    marked = _marked(docs, id_col, text_col).where("kept")
+    kept = marked.groupBy(key(F.col("doc_id")).alias("id"), "copy").agg(F.lit(1).alias("_")).drop("_")
+    at = F.struct(key(F.col(id_col)).alias("id"), F.xxhash64(F.col(text_col)).alias("copy"))
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), at.alias("at"))
+    found = whole.join(kept, (F.col("at.id") == kept["id"]) & (F.col("at.copy") == kept["copy"]), "left_semi")
+    return found.select("doc.*")
