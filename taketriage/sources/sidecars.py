@@ -204,5 +204,6 @@ def flat(takes: DataFrame) -> DataFrame:
         F.col("review.cost.total_usd").alias("total_usd"), F.col("recipe.seeds").alias("seeds"), F.col("recipe.prompt_text").alias("prompt_text"),
         F.col("recipe.models.file").alias("models"),
         F.when(F.col("recipe.loras").isNotNull(), F.map_from_entries(F.transform(F.filter("recipe.loras", lambda x: x["file"].isNotNull()), lambda x: F.struct(x["file"], x["strength"])))).alias("loras"),
-        F.col("regen").isNotNull().alias("regen"), F.col("regen.job").alias("job"), "doc",
+        F.col("regen").isNotNull().alias("regen"), F.col("regen.job").alias("job"), F.col("regen.submitted").alias("submitted"), F.col("regen.driver").alias("driver"),
+        F.col("review.mechanical.kill_reasons").alias("reasons"), "doc",
     )

@@ -66,7 +66,7 @@ class Resubmission:
     def _takes(self) -> DataFrame:
         """One scan of the sidecars, for all that a tick asks of them."""
         docs = sidecars.find_takes(self.spark, self.root, permissive=True).withColumn("clip", F.regexp_replace("clip", "^file:(//)?", ""))
-        return cut(sidecars.flat(docs).withColumn("reasons", docs["review.mechanical.kill_reasons"]).withColumn("submitted", docs["regen.submitted"]).withColumn("driver", docs["regen.driver"]).drop("doc"))
+        return cut(sidecars.flat(docs).drop("doc"))
 
     # ---- at the start
 

@@ -105,7 +105,7 @@ class Half(Judge):
     """Finds fault with every clip but b, told by its own frame."""
 
     def __call__(self, messages, temperature=0.0):
-        self.replies = {} if "0.25," in messages[1]["content"][0]["text"] else {"hand.count": YES}
+        self.replies = {} if "0.375 seconds" in messages[1]["content"][0]["text"] else {"hand.count": YES}
         return super().__call__(messages, temperature)
 
 
