@@ -167,7 +167,7 @@ def cmd_brief(a, spark) -> int:
     docs, takes, defects = _takes(spark, a.dir)
     if takes.isEmpty():
         return 1
-    chains = lineage.lineage_by_shot(takes, lineage.walks(takes))
+    chains = lineage.lineage_by_shot(takes)
     doc = report_.dossier(takes, defects, sidecars.kill_reasons(docs), chains)
     print(json.dumps(doc, indent=2) if a.json else report_.dossier_text(doc))
     return 0

@@ -6,9 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.kernels import audit_pick, kappa
+from .order import running
 
 # fixed values
 DEFAULT_ALPHA, MIN_KAPPA = 0.05, 0.6
@@ -23,11 +24,10 @@ def conformal(scored: DataFrame, alpha: float = DEFAULT_ALPHA) -> DataFrame:
 
     scored: label, score.  Lambda is the k-th smallest score of passes, with
     k = ceil((n + 1)(1 - alpha)), null if there are fewer.  Scores are counted
-    by value first, so the running count goes over distinct scores.
+    by value first, so the running count goes over distinct scores, in parts.
     """
     passes = scored.where("label = 'pass'").groupBy("score").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = passes.select("score", F.sum("c").over(upto).alias("upto"))
+    ranked = running(passes, ["score"], before="c").select("score", (F.col("before") + F.col("c")).alias("upto"))
     n = scored.agg(F.count_if(F.col("label") == "pass").alias("n_pass"), F.count_if(F.col("label") == "kill").alias("n_kill"))
     n = n.withColumn("k", F.ceil((F.col("n_pass") + 1) * (1 - F.lit(alpha))))
     lam = ranked.crossJoin(F.broadcast(n)).where("upto >= k").agg(F.min("score").alias("lambda"))
@@ -61,7 +61,7 @@ def fit_weights(gold: DataFrame, features: DataFrame, iters: int = 2000, lr: flo
     gold: clip, label.  Full-batch gradient descent from zero, bias without
     penalty.  Equal feature rows with equal labels are merged with a count
     first (features take few values), so that what meets in the one group is
-    bounded by distinct rows, not by takes.
+    bounded by distinct rows, and by how many takes people label, not by takes.
     """
     entries = F.array_sort(F.collect_list(F.struct("rule", "x")))
     rows = gold.join(features, "clip", "left").groupBy("clip", "label").agg(entries.alias("f"))

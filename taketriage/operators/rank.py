@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.kernels import sigmoid
 from ..functions.text import slate, timecode
+from .order import running
 
 # fixed values
 DEFAULT_FPS, DEFAULT_SIZE = 24, (1280, 720)
@@ -73,15 +74,15 @@ def cut_list(picks: DataFrame, shot_list: DataFrame | None = None, fps: float =
     cut order: listed shots first, then by name.
 
     The cut is one sequence, so its running times are too: they run over the
-    picks of each shot, then over shots (few), not over takes.
+    picks of each shot, then over shots, in parts.
     """
     if shot_list is None:
         at = picks.withColumn("pos", F.lit(None).cast("int"))
     else:
         at = picks.join(F.broadcast(shot_list), "shot", "left")
     shots = at.groupBy("shot").agg(F.first("pos").alias("pos"), F.sum("duration").alias("len"), F.count(F.lit(1)).alias("m"))
-    before = Window.orderBy(F.col("pos").isNull(), "pos", "shot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shots.select("shot", F.coalesce(F.sum("len").over(before), F.lit(0.0)).alias("t0"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("n0"))
+    placed = shots.withColumn("late", F.col("pos").isNull())
+    starts = running(placed, ["late", "pos", "shot"], t0="len", n0="m").select("shot", "t0", "n0")
     within = Window.partitionBy("shot").orderBy("pick")
     prior = within.rowsBetween(Window.unboundedPreceding, -1)
     df = at.join(starts, "shot").withColumn("record_in", F.col("t0") + F.coalesce(F.sum("duration").over(prior), F.lit(0.0)))

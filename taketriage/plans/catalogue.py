@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import kernels, text
 from ..operators import breaker, brief, cost, judge, labels, ledger, lineage, rank, signals
 from .bridge import ctes, frames
+from .session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -378,18 +379,18 @@ _UP = """ix AS (SELECT take_id, parent FROM fx_takes), up AS (SELECT clip, 1 AS
 
 @query("fx_takes", f"+ {_UP} SELECT coalesce(t.shot, 'untagged') AS shot, count(t.parent) AS reruns, CAST(coalesce(max(d.depth), 0) AS INT) AS max_depth FROM fx_takes t LEFT JOIN (SELECT clip, max(depth) AS depth FROM up GROUP BY 1) d ON d.clip = t.clip GROUP BY 1")
 def lineage_depth(takes):
-    return lineage.lineage_by_shot(takes, lineage.walks(takes))
+    return lineage.lineage_by_shot(takes)
 
 
 @query("fx_takes", f"+ {_UP} SELECT t.clip, CAST(1 + coalesce(max(up.depth), 0) AS INT) AS length FROM fx_takes t LEFT JOIN up ON up.clip = t.clip GROUP BY 1")
 def chain_length(takes):
-    return lineage.chain_lengths(takes, lineage.walks(takes))
+    return lineage.chain_lengths(takes)
 
 
 @query("fx_takes", f"""+ {_UP}, r AS (SELECT up.clip, arg_max(a.prompt_text, up.depth) AS root FROM up JOIN fx_takes a ON a.take_id = up.pid WHERE a.prompt_text IS NOT NULL GROUP BY 1)
   SELECT t.clip, r.root IS NOT NULL AND r.root IS DISTINCT FROM t.prompt_text AS guarded, CASE WHEN r.root IS NOT NULL THEN r.root ELSE t.prompt_text END AS judged_prompt FROM fx_takes t LEFT JOIN r ON r.clip = t.clip""")
 def root_prompt(takes):
-    return lineage.intent_guard(takes, lineage.walks(takes)).select("clip", "guarded", "judged_prompt")
+    return lineage.intent_guard(takes).select("clip", "guarded", "judged_prompt")
 
 
 _PKR = f"""pk AS (SELECT DISTINCT up.clip, {_CLASS} AS rule FROM up JOIN fx_takes a ON a.take_id = up.pid JOIN fx_reasons r ON r.clip = a.clip WHERE {_SIDE} = 'rule')"""
@@ -397,12 +398,12 @@ _PKR = f"""pk AS (SELECT DISTINCT up.clip, {_CLASS} AS rule FROM up JOIN fx_take
 
 @query("fx_takes fx_reasons", f"+ {_UP}, {_PKR} SELECT clip, rule FROM pk")
 def parent_kill_rules(takes, reasons):
-    return lineage.parent_kill_rules(takes, lineage.walks(takes), reasons)
+    return lineage.parent_kill_rules(takes, reasons)
 
 
 @query("fx_takes fx_reviews fx_reasons fx_rules", f"+ {_UP}, {_PKR} SELECT pk.clip, pk.rule FROM pk JOIN fx_reviews t ON t.clip = pk.clip WHERE t.parent IS NOT NULL AND t.verdict <> 'kill' AND pk.rule IN (SELECT rule FROM fx_rules)")
 def scrutiny_set(takes, reviews, reasons, rules):
-    return judge.scrutiny_set(reviews, lineage.parent_kill_rules(takes, lineage.walks(takes), reasons), rules)
+    return judge.scrutiny_set(reviews, lineage.parent_kill_rules(takes, reasons), rules)
 
 
 # ---- cut
@@ -512,8 +513,8 @@ def ledger_refresh(takes, defects, spans, reasons, jobs, want):
     WHEN coalesce(ch.length, 1) >= 4 THEN concat('lineage cap 4 reached for the chain ending at ', c.clip) END AS why
   FROM (SELECT clip FROM fx_jobs) c LEFT JOIN fx_reviews t ON t.clip = c.clip LEFT JOIN s ON s.shot = t.shot LEFT JOIN ch ON ch.clip = c.clip) c""")
 def submit_gate(takes, defects, spans, reasons, jobs, want):
-    shots = _refreshed(takes, defects, spans, reasons, jobs, want)
-    return ledger.submit_gate(jobs.select("clip"), takes, shots, lineage.chain_lengths(takes, lineage.walks(takes)))
+    shots = cut(_refreshed(takes, defects, spans, reasons, jobs, want))  # asked of twice
+    return ledger.submit_gate(jobs.select("clip"), takes, shots, lineage.chain_lengths(takes))
 
 
 @query("fx_reviews fx_jobs", """SELECT t.clip, t.take_id, t.shot FROM fx_reviews t WHERE t.verdict = 'kill' AND t.landed

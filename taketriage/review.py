@@ -130,8 +130,7 @@ def _judged(t: DataFrame, family: DataFrame, g: Judging, audit_rate: float) -> D
     judge sees.  t: clip, take_id, parent, doc, times, reasons, score inputs."""
     spark = t.sparkSession
     rules, questions = sidecars.rubric_frames(spark, g.rules)
-    hops = lineage.walks(family)
-    guard = cut(lineage.intent_guard(family, hops).where("guarded").select("clip", "judged_prompt"))
+    guard = cut(lineage.intent_guard(family).where("guarded").select("clip", "judged_prompt"))
     seen = t.join(guard, "clip", "left")
     context = j.needs_context(rules, seen)
     is_prompt = F.col("needs") == "recipe.prompt_text"
@@ -143,22 +142,22 @@ def _judged(t: DataFrame, family: DataFrame, g: Judging, audit_rate: float) -> D
     times = t.select("clip", "times")
     skipped = t.select("clip").crossJoin(F.broadcast(rules.select("rule"))).join(context, ["clip", "rule"], "left_anti")
     guarded = guard.select("clip", F.lit(True).alias("root_prompt"))
-    vlm = cut(screening.block_json(t, block, g.engine, skipped, g.samples, strong, guarded=guarded).withColumnRenamed("block", "vlm"))
+    vlm = screening.block_json(t, block, g.engine, skipped, g.samples, strong, guarded=guarded).withColumnRenamed("block", "vlm")
 
-    fatal = cut(_fatal(t, block, rules, g))
+    fatal = _fatal(t, block, rules, g)
     state = t.join(fatal, "clip", "left").withColumn("killed", F.size(F.coalesce("more", F.array().cast("array<string>"))) > 0)
     state = cut(state.withColumn("reasons", F.concat("reasons", F.coalesce("more", F.array().cast("array<string>")))).drop("more"))
 
     verdict = F.when(F.col("killed"), "kill").otherwise("review")
     why = family.where("verdict = 'kill'").select("clip", F.explode("reasons").alias("reason"))
-    parents = cut(lineage.parent_kill_rules(family, hops, why))
+    parents = lineage.parent_kill_rules(family, why)
     again, used, subset = screening.scrutinized(state.withColumn("verdict", verdict), rows, times, parents, rules, questions, g.ask, g.strong, g.frames)
     named = (g.strong_engine or g.engine, used, subset) if used is not None else None
-    held = cut(screening.block_json(subset.select("clip").distinct(), again, g.engine, None, max(g.samples, j.SCRUTINY_SAMPLES), named, subset).withColumnRenamed("block", "scrutiny"))
-    fatal = cut(_reasons(j.rule_kills(again.defects, rules)))
+    held = screening.block_json(subset.select("clip").distinct(), again, g.engine, None, max(g.samples, j.SCRUTINY_SAMPLES), named, subset).withColumnRenamed("block", "scrutiny")
+    fatal = _reasons(j.rule_kills(again.defects, rules))
     none = F.array().cast("array<string>")
     state = state.join(fatal, "clip", "left").withColumn("killed", F.col("killed") | (F.size(F.coalesce("more", none)) > 0)).withColumn("reasons", F.concat("reasons", F.coalesce("more", none)))
-    state = cut(labels.audited(state.withColumn("verdict", verdict), audit_rate))
+    state = labels.audited(state.withColumn("verdict", verdict), audit_rate)
     return state.join(vlm, "clip").join(held, "clip", "left").select("clip", "vlm", "scrutiny", "reasons", "verdict", "audit")
 
 

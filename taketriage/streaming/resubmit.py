@@ -103,7 +103,7 @@ class Resubmission:
         caps = self.doc["caps"]
         self.doc["shots"] = {r["shot"]: {k: v for k, v in r.asDict().items() if k != "shot"} for r in shots.collect()}  # a file's worth: it is published
         self.doc["attempts"], self.doc["spend_usd"] = len(self.doc["jobs"]), round(sum(s["spend_usd"] for s in self.doc["shots"].values()), 6)
-        chains = lineage.chain_lengths(takes, lineage.walks(takes))
+        chains = lineage.chain_lengths(takes)
         gate = ledger.submit_gate(candidates, takes, shots, chains, caps.get("attempts"), caps.get("spend_usd"), caps.get("lineage") or lineage.LINEAGE_CAP)
         return gate.join(takes.select("clip", "shot", "take_id", "seeds"), "clip", "left")
 
@@ -151,8 +151,8 @@ class Resubmission:
         return sorted(events, key=lambda e: e["parent"])
 
     @staticmethod
-    def _event(clip: str, shot: str | None, action: str, **more) -> dict:
-        return {"event": "regen", "shot": shot, "parent": clip, "action": action} | more
+    def _event(parent: str, shot: str | None, action: str, /, **more) -> dict:
+        return {"event": "regen", "shot": shot, "parent": parent, "action": action} | more
 
     def _submit(self, clip: str, shot: str | None, seeds: dict) -> dict:
         try:

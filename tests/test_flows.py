@@ -311,7 +311,7 @@ def test_resubmission_stops(spark, tmp_path, driver):
     bad = [killed(root / f"x{n}.mp4", 10 + n, "bad") for n in range(5)]
     done = killed(root / "d.mp4", 20, "done")
     killed(root / "ok.mp4", 21, "done", review={"verdict": "review"})
-    deep = killed(root / "deep.mp4", 30, "deep", parent="sha256:31")
+    deep = killed(root / "deep.mp4", 30, "deep", parent="sha256:1f")
     for n in (31, 32, 33):
         (root / f"p{n}.mp4.take.json").write_text(json.dumps({"take_id": f"sha256:{n:02x}", "parent": f"sha256:{n + 1:02x}" if n < 33 else None, "output": {"file": "p"}}))
     ledger = root / "ledger.json"

@@ -109,24 +109,43 @@ def chain(spark, *rows):
 
 def test_lineage_cycles_and_gaps(spark):
     t = chain(spark, ("a", "b"), ("b", "a"), ("x", None), ("y", "x"), ("z", "gone"), ("s", "s"), ("p", "q"), ("q", "r"), ("r", "q"))
-    hops = lineage.walks(t)
-    assert by_clip(lineage.chain_lengths(t, hops), "length") == {"a": 3, "b": 3, "x": 1, "y": 2, "z": 2, "s": 2, "p": 4, "q": 3, "r": 3}
-    d = by_clip(lineage.depths(t, hops), "depth")
-    assert (d["a"], d["y"], d["z"]) == (2, 1, 1)
+    assert by_clip(lineage.chain_lengths(t), "length") == {"a": 3, "b": 3, "x": 1, "y": 2, "z": 2, "s": 2, "p": 4, "q": 3, "r": 3}
+    d = by_clip(lineage.depths(t), "depth")
+    assert (d["a"], d["x"], d["y"], d["z"]) == (2, 0, 1, 1)
+    rules = lineage.parent_kill_rules(t, spark.createDataFrame([("b", "hand severity 4 at 1.0s: x"), ("q", "face severity 4 at 1.0s: x")], "clip string, reason string"))
+    assert sorted(tuple(r) for r in rules.collect()) == [("a", "hand"), ("b", "hand"), ("p", "face"), ("q", "face"), ("r", "face")]
+
+
+def test_long_chains(spark):
+    t = chain(spark, ("c0", "gone"), *[(f"c{i}", f"c{i - 1}") for i in range(1, 70)])
+    t = t.withColumn("prompt_text", F.when(F.col("clip").isin("c3", "c40"), F.col("clip")))
+    assert by_clip(lineage.chain_lengths(t), "length") == {f"c{i}": i + 2 for i in range(70)}
+    assert by_clip(lineage.root_prompts(t), "root_prompt") == {f"c{i}": "c3" for i in range(4, 70)}
+    rules = lineage.parent_kill_rules(t, spark.createDataFrame([("c9", "hand severity 4 at 1.0s: x")], "clip string, reason string"))
+    assert sorted(int(r["clip"][1:]) for r in rules.collect()) == list(range(10, 70))
+
+
+def test_running_sums_over_parts(spark):
+    from taketriage.operators.order import running
+
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("k"), (F.col("id") % 9).alias("v"), (F.col("id") / 4).alias("x"))
+    rows = sorted((r["k"], r["v"], r["x"]) for r in df.collect())
+    got = sorted((r["k"], r["a"], r["b"]) for r in running(df, ["k"], a="v", b="x").collect())
+    assert got == [(k, sum(v for _, v, _ in rows[:n]), sum(x for _, _, x in rows[:n])) for n, (k, _, _) in enumerate(rows)]
 
 
 def test_intent_guard(spark):
     t = spark.createDataFrame(
         [("c1", "i1", None, "root"), ("c2", "i2", "i1", None), ("c3", "i3", "i2", "patched"), ("c4", "i4", "i1", "root")], "clip string, take_id string, parent string, prompt_text string"
     )
-    out = by_clip(lineage.intent_guard(t, lineage.walks(t)), "judged_prompt", "guarded")
+    out = by_clip(lineage.intent_guard(t), "judged_prompt", "guarded")
     assert out == {"c1": ("root", False), "c2": ("root", True), "c3": ("root", True), "c4": ("root", False)}
 
 
 def test_parent_kill_rules_skip_mechanical_and_calibrated(spark):
     t = chain(spark, ("a", None), ("b", "a"), ("c", "b"))
     why = spark.createDataFrame([("a", "hand.x severity 4 at 1.0s: n"), ("a", "black for 3.0s of 4.0s"), ("b", "calibrated kill score 4 > 3")], "clip string, reason string")
-    got = lineage.parent_kill_rules(t, lineage.walks(t), why).collect()
+    got = lineage.parent_kill_rules(t, why).collect()
     assert sorted((r["clip"], r["rule"]) for r in got) == [("b", "hand.x"), ("c", "hand.x")]
 
 
