@@ -1,7 +1,15 @@
 """Corpus pipeline: five filtering and encoding stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written and read again as the next stage's docs.
+written and read again as the next stage's docs; what a stage has read is then
+deleted.
+
+Rows without text, or without letters, go with the first stage.  A row without a
+doc_id counts as the smallest id to the lines, and is linked by its text alone to
+near duplicates: it stays where no document of its component has an id.  Rows
+that share a doc_id are one document to both.  Repeated rows stay or go together.
+An empty table gives no rows; other columns of any name are kept by all stages
+but the last.
 """
 
 from __future__ import annotations
@@ -9,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taketriage.llm import bpe, decontam, langid, linededup, neardup
-from taketriage.llm.shared import table, written
+from taketriage.llm.shared import discard, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +63,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
