@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import __version__, report as report_, review as review_, schema
 from .functions.kernels import mutated_seeds
-from .functions.text import drawtext_escape, want_pair
+from .functions.text import drawtext_escape, plain_path, want_pair
 from .operators import cost, judge, labels, ledger, lineage, rank
 from .plans.session import cut, session
 from .sources import external, sidecars, sinks
@@ -86,7 +86,7 @@ def cmd_verdict(a, spark) -> int:
 
 def cmd_gold(a, spark) -> int:
     if a.action == "add":
-        found = sidecars.find_clips(spark, a.paths).select(F.regexp_replace("path", "^file:(//)?", "").alias("clip"))
+        found = sidecars.find_clips(spark, a.paths).select(F.col("path").alias("clip"))
         ids = external.extract(found, external.hash_file, "id")
         known = review_.opened(found).select("clip", F.col("take_id").alias("own"))
         rows = cut(ids.join(known, "clip").select("clip", F.coalesce("own", "id").alias("take_id")))
@@ -134,9 +134,9 @@ def cmd_judge_check(a, spark) -> int:
     if judging is None:
         print("judge-check needs --vlm", file=sys.stderr)
         return 2
-    docs = cut(sidecars.find_takes(spark, a.dir).withColumn("clip", F.regexp_replace("clip", "^file:(//)?", "")))
+    docs = cut(sidecars.find_takes(spark, a.dir))
     gold = cut(sidecars.gold(docs))
-    there = sidecars.snapshot(spark, a.dir).select(F.regexp_replace("path", "^file:(//)?", "").alias("clip"))
+    there = sidecars.snapshot(spark, a.dir).select(F.col("path").alias("clip"))
     predicted = review_.predicted(docs.join(gold.select("clip"), "clip", "left_semi").join(there, "clip", "left_semi"), judging)
     r = labels.judge_agreement(gold, predicted, there).first().asDict()
     if not r["n"]:
@@ -152,7 +152,7 @@ def cmd_judge_check(a, spark) -> int:
 
 def write_report(spark, folder: str, output: str) -> DataFrame:
     docs, takes, _ = _takes(spark, folder)
-    stills = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jpg").load(folder).select("path")
+    stills = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jpg").load(folder).select(plain_path(F.col("path")).alias("path"))
     report_.write_html(docs, takes, stills, output)
     return takes.where("not pending")
 
@@ -281,8 +281,8 @@ def cmd_watch(a, spark) -> int:
     def after(rows: DataFrame) -> None:
         if "verdict" in rows.columns and not rows.isEmpty():
             docs, takes, _ = _takes(spark, root)
-            review_.priced_and_ranked(takes.select(F.regexp_replace("clip", "^file:(//)?", "").alias("clip")), None, judging and judging.calibration)
-            names = takes.withColumn("clip", F.regexp_replace("clip", "^file:(//)?", ""))
+            review_.priced_and_ranked(takes.select("clip"), None, judging and judging.calibration)
+            names = takes
             told = monitor_states(names, rows)
             for r in told.orderBy("clip").toLocalIterator():
                 line = json.loads(r["line"]) | {"shot_doomed": r["doomed"]}

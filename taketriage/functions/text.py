@@ -19,6 +19,11 @@ def null_if_blank(x: Column) -> Column:
     return F.when(x != "", x)
 
 
+def plain_path(path: Column) -> Column:
+    """A local file's path without its scheme, which listings write differently."""
+    return F.regexp_replace(path, "^file:(//)?", "")
+
+
 def is_video(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).isin(*VIDEO_EXTS)
 

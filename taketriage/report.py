@@ -109,7 +109,7 @@ def cards(docs: DataFrame, pending: DataFrame, posters: DataFrame, folder: str)
     )
     df = df.withColumn("rows", dot_rows(F.when(F.col("duration") > 0, F.transform("defects", lambda d: percent(d["t"], F.col("duration")))).otherwise(F.array().cast("array<double>"))))
     name = html_escape(file_name(F.col("output.file"), F.col("clip")))
-    path = F.regexp_replace("clip", "^file:(//)?", "")
+    path = F.col("clip")
     near = F.when(path.startswith(folder.rstrip("/") + "/"), F.substr(path, F.lit(len(folder.rstrip("/")) + 2))).otherwise(path)
     still = F.when(F.col("poster"), F.concat(F.lit(" poster='"), html_escape(F.regexp_replace(near, r"\.[^./]*$", ".jpg")), F.lit("'"))).otherwise("")
     stats = F.array_join(

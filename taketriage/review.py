@@ -100,10 +100,6 @@ def mechanical(clips: DataFrame, s: Signals) -> DataFrame:
     )
 
 
-def _plain(path: Column) -> Column:
-    return F.regexp_replace(path, "^file:(//)?", "")
-
-
 def opened(clips: DataFrame) -> DataFrame:
     """clip, the typed core and the whole document of each clip's sidecar, or of
     its skeleton; read where the clips lie."""
@@ -116,7 +112,7 @@ def _family(spark: SparkSession, clips: DataFrame, roots: list[str]) -> DataFram
     folder = lambda: F.regexp_extract("clip", "^(.*/)", 1)
     here = clips.select(folder().alias("folder")).distinct()
     tagged = lambda c: F.concat("folder", F.lit("\n"), c).alias(c)
-    parts = [sidecars.find_takes(spark, r, permissive=True).withColumn("clip", _plain(F.col("clip"))) for r in roots]
+    parts = [sidecars.find_takes(spark, r, permissive=True) for r in roots]
     takes = parts[0]
     for p in parts[1:]:
         takes = takes.unionByName(p)
@@ -230,7 +226,7 @@ def review(
     what it hasn't judged.  One row a clip: clip, file, shot, verdict,
     rank_in_shot, kill_reasons, fresh.
     """
-    found = sidecars.find_clips(spark, paths).select(_plain(F.col("path")).alias("clip"))
+    found = sidecars.find_clips(spark, paths).select(F.col("path").alias("clip"))
     ids = external.extract(found, external.hash_file, "id")
     docs = opened(found).join(ids, "clip")
     known = F.col("review").isNotNull() & (F.col("take_id") == F.col("id"))

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import is_video, utc_stamp
+from ..functions.text import is_video, plain_path, utc_stamp
 from ..operators.judge import DEFAULT_RULES
 from ..schema import TAKE
 
@@ -23,14 +23,14 @@ def clips(paths: DataFrame, column: str = "path") -> DataFrame:
 def snapshot(spark: SparkSession, root: str) -> DataFrame:
     """path, size, mtime of every clip under ``root``; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).where(is_video(F.col("path")))
+    return files.select(plain_path(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).where(is_video(F.col("path")))
 
 
 def find_clips(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Clips of folders (recursively), globs and single paths."""
     out = None
     for p in paths:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p).select("path")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p).select(plain_path(F.col("path")).alias("path"))
         out = files if out is None else out.unionByName(files)
     return clips(out).orderBy("path")
 
@@ -39,14 +39,14 @@ def hashed(spark: SparkSession, root: str) -> DataFrame:
     """clip, take_id of every clip, read in pieces where it lies."""
     from .external import extract, hash_file
 
-    files = snapshot(spark, root).select(F.regexp_replace("path", "^file:(//)?", "").alias("clip"))
+    files = snapshot(spark, root).select(F.col("path").alias("clip"))
     return extract(files, hash_file, "take_id")
 
 
 def _texts(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", f"*{SUFFIX}")
-    path = F.regexp_replace(F.col("_metadata.file_path"), r"\.take\.json$", "")
-    return files.text(root).select(path.alias("clip"), "value")
+    files = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", f"*{SUFFIX}")
+    path = F.regexp_replace(plain_path(F.col("_metadata.file_path")), r"\.take\.json$", "")
+    return files.text(root, wholetext=True).select(path.alias("clip"), "value")
 
 
 def typed(texts: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def label_patches(clip_rows: DataFrame, label: str) -> DataFrame:
 
 def shot_list(spark: SparkSession, path: str) -> DataFrame:
     """pos, value of a shot list's lines."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.split("value", "\n")).alias("pos", "value"))
 
 

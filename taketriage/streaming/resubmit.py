@@ -58,14 +58,14 @@ class Resubmission:
             sinks.save_ledger(self.doc, self.state)
 
     def _landed(self) -> DataFrame:
-        seen = sidecars.snapshot(self.spark, self.root).select(F.regexp_replace("path", "^file:(//)?", "").alias("clip"))
+        seen = sidecars.snapshot(self.spark, self.root).select(F.col("path").alias("clip"))
         # a job's clip may lie outside of the watched folder
         away = [(j["clip"],) for j in self.doc["jobs"].values() if j.get("clip") and os.path.exists(j["clip"])]
         return seen.union(self.spark.createDataFrame(away, "clip string")).distinct()
 
     def _takes(self) -> DataFrame:
         """One scan of the sidecars, for all that a tick asks of them."""
-        docs = sidecars.find_takes(self.spark, self.root, permissive=True).withColumn("clip", F.regexp_replace("clip", "^file:(//)?", ""))
+        docs = sidecars.find_takes(self.spark, self.root, permissive=True)
         return cut(sidecars.flat(docs).drop("doc"))
 
     # ---- at the start
@@ -180,7 +180,7 @@ class Resubmission:
             events = self.act(fresh, takes)
         if not self.dry_run:
             jobs = self.jobs().select("parent")
-            here = sidecars.snapshot(self.spark, self.root).select(F.regexp_replace("path", "^file:(//)?", "").alias("clip"))
+            here = sidecars.snapshot(self.spark, self.root).select(F.col("path").alias("clip"))
             takes = self._takes() if events else takes
             late = cut(ledger.orphan_kills(takes, jobs, here).select("clip"))
             if not late.isEmpty():
