@@ -9,7 +9,8 @@ The automata are learned from a bounded sample: at most ``SAMPLE_CHARS``
 characters in all, shared evenly by the languages, from documents drawn by a
 hash of their id; of the ``MAX_LANGUAGES`` languages with the most labelled
 text, should there be more.  So the model that goes to the workers is bounded
-too: a state has its transitions as a set of bits and a place in one list.
+too: the transitions that there are, in a list.  Each worker makes its table of
+them, of all symbols for each state, which has the bound of the sample.
 
 A text is parsed in blocks of ``BLOCK`` symbols, all blocks of a batch together,
 one symbol at a time, and then those again, from the state that the block
@@ -44,7 +45,7 @@ UND = "und"
 #: languages at most.
 SAMPLE_CHARS, DOC_CHARS, MAX_LANGUAGES = 320_000, 4_000, 512
 #: Languages with more symbols than this have their transitions hashed.
-BITMAP = 62
+DENSE = 62
 #: Symbols of a block; steps after which states are noted; code points of a
 #: slice of a batch.
 BLOCK, STEPS, SLICE = 512, 32, 2_000_000
@@ -69,10 +70,14 @@ class Automaton:
     Symbols are renumbered: those that occur, then all others as one, then
     padding (k - 1), which keeps the state.  Where a state lacks a transition
     the phrase has ended before the symbol, which begins the next: the root's
-    transition is taken.  The last state has none; parsing begins there, and a
-    symbol that the root lacks leads there, so it is a phrase of its own.
+    transition is taken, marked.  The last state has none; parsing begins there,
+    and a symbol that the root lacks leads there, so it is a phrase of its own.
+    With up to DENSE symbols transitions are looked up in a table, whose states
+    are kept multiplied by the number of symbols; else they are hashed.
     """
 
+    MARKED = np.int32(1 << 30)
+
     def __init__(self, symbols: np.ndarray, k: int) -> None:
         own = np.unique(symbols)
         self.local = np.full(k, len(own), np.min_scalar_type(len(own) + 1))
@@ -80,20 +85,31 @@ class Automaton:
         self.local[k - 1] = len(own) + 1
         self.bits, self.k = math.log2(max(2, len(symbols))), len(own) + 2
         nexts = [*suffix_automaton(self.local[symbols].tolist())[0], {}]
-        self.end = len(nexts) - 1
+        self.dense = len(own) <= DENSE
+        step = self.k if self.dense else 1
+        self.end = (len(nexts) - 1) * step
         self.root = np.full(self.k, self.end, np.int32)
         for c, s in nexts[0].items():
-            self.root[c] = s
-        self.sets = None
-        if len(own) <= BITMAP:
-            self._bitmaps(nexts)
+            self.root[c] = s * step
+        if self.dense:
+            self.counts = np.array([len(out) for out in nexts], np.uint8)
+            self.symbols = np.array([c for out in nexts for c in out], np.uint8)
+            self.to = np.array([s * step for out in nexts for s in out.values()], np.int32)
         else:
             self._hash(nexts)
 
-    def _bitmaps(self, nexts: list[dict[int, int]]) -> None:
-        self.sets = np.array([sum(1 << c for c in out) for out in nexts], np.uint64)
-        self.first = np.concatenate([[0], np.cumsum([len(out) for out in nexts])[:-1]]).astype(np.int32)
-        self.to = np.array([s for out in nexts for _, s in sorted(out.items())] or [0], np.int32)
+    @property
+    def table(self) -> np.ndarray:
+        if not hasattr(self, "_table"):
+            n = len(self.counts)
+            table = np.tile(self.root | self.MARKED, (n, 1))
+            table[np.repeat(np.arange(n), self.counts), self.symbols] = self.to
+            table[:, self.k - 1] = np.arange(n, dtype=np.int32) * self.k
+            self._table = table.ravel()
+        return self._table
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_table"}
 
     def _hash(self, nexts: list[dict[int, int]]) -> None:
         """Open addressing, half full at most; -1 is a free slot."""
@@ -131,17 +147,16 @@ class Automaton:
         """Phrases that begin in each column of ``steps`` (renumbered), entered
         in ``state``, and the state it is left in."""
         marks = np.zeros(steps.shape[1], np.int32)
-        pad = self.k - 1
+        if self.dense:
+            table = self.table
+            for c in steps:
+                got = table[state + c]
+                marks += got >> 30
+                state = got & (self.MARKED - 1)
+            return marks, state
         for c in steps:
-            if self.sets is None:
-                got = self._found(state.astype(np.int64) * self.k + c)
-                ends, kept = got < 0, c == pad
-            else:
-                sets, at = self.sets[state], c.astype(np.uint64)
-                below = np.bitwise_count(sets & ((np.uint64(1) << at) - np.uint64(1)))
-                got = self.to[np.minimum(self.first[state] + below, len(self.to) - 1)]
-                ends, kept = (sets >> at) & np.uint64(1) == 0, c == pad
-            ends &= ~kept
+            got, kept = self._found(state.astype(np.int64) * self.k + c), c == self.k - 1
+            ends = (got < 0) & ~kept
             marks += ends
             state = np.where(kept, state, np.where(ends, self.root[c], got)).astype(np.int32)
         return marks, state
@@ -194,7 +209,7 @@ class Model:
         for i, lang in enumerate(self.langs):
             joined = np.concatenate([np.zeros(0, np.uint8), *[self.symbols(t)[0] for t in texts[lang]]])
             self.automata.append(Automaton(joined, self.k))
-            if self.automata[i].sets is None:
+            if not self.automata[i].dense:
                 half = Automaton(joined[: len(joined) // 2], self.k)
                 rest = joined[len(joined) // 2 :]
                 typical = half.phrases(*self._blocks([rest]))[0] * half.bits / len(rest)
