@@ -130,8 +130,7 @@ def exact_round(x: Column, digits: int) -> Column:
 
 def fixed(x: Column, digits: int) -> Column:
     """``x`` with so many decimals, as C's ``%.<digits>f`` has it."""
-    whole, _ = _scaled(F.abs(x.cast("double")), digits)
-    text = F.lpad(whole.cast("long").cast("string"), F.greatest(F.length(whole.cast("long").cast("string")), F.lit(digits + 1)), F.lit("0"))
-    n = F.length(text) - digits
-    sign = F.when((x < 0), "-").otherwise("")
-    return F.concat(sign, F.substr(text, F.lit(1), n), F.lit("."), F.substr(text, n + 1, F.lit(digits)))
+    whole, scale = _scaled(F.abs(x.cast("double")), digits)
+    number = whole.cast("long")
+    point = F.lit(10**digits)
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(number / scale).cast("string"), F.lit("."), F.lpad((number % point).cast("string"), digits, "0"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -171,18 +171,18 @@ class Resubmission:
         self._save()
         return self._event(clip, shot, "submitted", job=job["job"], clip=job["clip"], seeds=seeds)
 
-    def tick(self, fresh: DataFrame | None = None) -> list[dict]:
+    def tick(self, fresh: DataFrame | None = None) -> Iterator[dict]:
         """Acts on fresh kills (clip), then on kills that were never sent: what
-        the rate deferred, or a crash lost."""
-        events = []
+        the rate deferred, or a crash lost.  Events come as they happen."""
         takes = self._takes()
+        events: list[dict] = []
         if fresh is not None and not fresh.isEmpty():
             events = self.act(fresh, takes)
+            yield from events
         if not self.dry_run:
             jobs = self.jobs().select("parent")
             here = sidecars.snapshot(self.spark, self.root).select(F.col("path").alias("clip"))
             takes = self._takes() if events else takes
             late = cut(ledger.orphan_kills(takes, jobs, here).select("clip"))
             if not late.isEmpty():
-                events += self.act(late, takes, quiet=True)
-        return events
+                yield from self.act(late, takes, quiet=True)
