@@ -531,7 +531,8 @@ def job_keys(jobs):
 @query("fx_jobs fx_takes", """+ st AS (SELECT clip, parent, shot, concat('job-', clip % 150) AS job FROM fx_takes WHERE stub)
   SELECT job, arg_min(clip, clip) AS clip, arg_min({'p': parent}, clip).p AS parent, arg_min({'s': shot}, clip).s AS shot, 'queued' AS state FROM st WHERE job NOT IN (SELECT job FROM fx_jobs) GROUP BY 1""")
 def job_adopt(jobs, takes):
-    return ledger.adopt(takes.where("stub").withColumn("job", F.concat(F.lit("job-"), F.col("clip") % 150)), jobs)
+    stubs = takes.where("stub").select("clip", "parent", "shot", F.concat(F.lit("job-"), F.col("clip") % 150).alias("job"))
+    return ledger.adopt(stubs, jobs)
 
 
 @query("fx_jobs fx_takes", """SELECT CAST(job_seq AS VARCHAR) AS key, CASE WHEN clip IN (SELECT clip FROM fx_takes WHERE landed) THEN 'done' WHEN job_seq % 3 = 0 THEN 'running' WHEN job_seq % 3 = 1 THEN 'queued' ELSE 'error' END AS state
