@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
@@ -134,3 +135,20 @@ def fixed(x: Column, digits: int) -> Column:
     number = whole.cast("long")
     point = F.lit(10**digits)
     return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(number / scale).cast("string"), F.lit("."), F.lpad((number % point).cast("string"), digits, "0"))
+
+
+def exact_sum(x: Column) -> Column:
+    """The sum of doubles, rounded once, as an aggregate that is the same in any
+    order of rows; 0.0 of none.
+
+    Each value is cut at 2**-20 in two whole numbers, whose sums are exact; what
+    lies below 2**-72 is left out.  Values of 2**31 and more, or not finite, are
+    added plainly.
+    """
+    near = F.abs(x) < 2.0**31
+    y = F.when(near, x) * 2.0**20
+    high = y.cast("long")
+    low = ((y - high) * 2.0**52).cast("long")
+    whole = lambda c: F.sum(c.cast("decimal(16,0)"))
+    exact = (whole(high) * F.lit(Decimal(2**52)) + whole(low)).cast("double") / 2.0**72
+    return F.coalesce(exact, F.lit(0.0)) + F.coalesce(F.sum(F.when(~near, x)), F.lit(0.0))

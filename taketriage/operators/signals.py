@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.kernels import exact_sum
 from ..functions.text import tenths
 
 # fixed values
@@ -41,9 +42,12 @@ def pair_spans(starts: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def span_totals(takes: DataFrame, spans: DataFrame) -> DataFrame:
-    """takes with black_s and freeze_s; a freeze without an end runs to the duration."""
+    """takes with black_s and freeze_s; a freeze without an end runs to the duration.
+
+    The totals are exact sums, since a reason's tenths tell a last bit at a half.
+    """
     e = F.coalesce("e", F.when(F.col("kind") == "freeze", F.col("duration")))
-    total = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, e - F.col("s"))), F.lit(0.0)).alias(f"{k}_s")
+    total = lambda k: exact_sum(F.when(F.col("kind") == k, e - F.col("s"))).alias(f"{k}_s")
     sums = spans.join(takes.select("clip", "duration"), "clip").groupBy("clip").agg(total("black"), total("freeze"))
     return takes.join(sums, "clip", "left").fillna(0.0, ["black_s", "freeze_s"])
 

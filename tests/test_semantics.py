@@ -1,6 +1,9 @@
 """Pinned behaviour on small inline tables."""
 
+import itertools
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -219,6 +222,26 @@ def test_mechanical_kills(spark):
     assert got == {1: ["frozen for 3.0s of 4.0s"], 2: ["probe: no moov"], 3: [], 4: []}
 
 
+def test_mechanical_kills_in_any_order_of_spans(spark):
+    """In some orders a plain sum of these freezes is 12.65, in others the double below it, which reads 12.6."""
+    freezes = [(0.375, None), (1.625, None), (0.0, 1.5), (0.0, 0.75)]
+    orders = list(enumerate(itertools.permutations(freezes)))
+    takes = spark.createDataFrame([(i, 6.2, None) for i, _ in orders], "clip long, duration double, errors array<string>")
+    spans = spark.createDataFrame([(i, "freeze", s, e) for i, p in orders for s, e in p], "clip long, kind string, s double, e double")
+    got = by_clip(signals.mechanical_kills(takes, spans.coalesce(1)), "freeze_s", "reasons")
+    assert got == {i: (12.65, ["frozen for 12.7s of 6.2s"]) for i, _ in orders}
+
+
+def test_exact_sum(spark):
+    rng = random.Random(5)
+    groups = [[rng.choice((-1, 1)) * rng.random() * 10 ** rng.randint(-3, 9) for _ in range(n)] for n in (1, 2, 7, 50, 9000)]
+    groups += [[0.1] * 10, [1e9, 1e-5, -1e9], [], [2.0**60, 0.5], [math.inf, 1.0], [2.0**31 - 2.0**-22] * 5000]
+    df = spark.createDataFrame([(g, x) for g, xs in enumerate(groups) for x in [*xs, None]], "clip long, x double")
+    got = by_clip(df.groupBy("clip").agg(kernels.exact_sum(F.col("x")).alias("sum")), "sum")
+    assert got == {g: math.fsum(xs) for g, xs in enumerate(groups)}
+    assert math.isnan(one(spark, s=kernels.exact_sum(F.lit(math.nan)))["s"])
+
+
 def test_detector_log(spark):
     log = "black_start:0 black_end:1.5 black_duration:1.5\nfreeze_start: 2\nfreeze_end: 3.5\nx freeze_start: 9.25"
     rows = signals.parse_detector_log(spark.createDataFrame([(1, log)], "clip long, text string")).collect()
